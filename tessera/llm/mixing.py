@@ -133,6 +133,20 @@ def rake(cells: list[Cell], shares: dict[str, float], repeats: dict[str, int], r
     return w, int(total)
 
 
+def _limits(edges: list[tuple[str, str, str, int, int, int, float]], bins: int) -> list[tuple[str, str, str, float]]:
+    """Where each cell's extra copies end: before or after the bin in which its due tokens lie.
+
+    What a cell gets too much or too little goes on to the next cell of its source, the finest last.
+    """
+    out, carry = [], defaultdict(float)
+    for source, lang, about, at, before, tokens, due in sorted(edges, key=lambda e: (e[0], -e[5], e[1], e[2])):
+        want = due + carry[source]
+        take = abs(before + tokens - want) <= abs(before - want)
+        carry[source] = want - before - tokens * take
+        out.append((source, lang, about, (at + take) / bins))
+    return out
+
+
 def selection(texts: DataFrame, targets: DataFrame, bins: int = 4096) -> DataFrame:
     """The selected texts: doc_id, source, lang, topic, n_tokens, copies (1 to the source's max_repeats).
 
@@ -154,9 +168,10 @@ def selection(texts: DataFrame, targets: DataFrame, bins: int = 4096) -> DataFra
     per = at.groupBy(*keys, "bin", "due").agg(F.sum("n_tokens").alias("tokens"))  # a histogram, at most `bins` rows a cell
     w = Window.partitionBy(*keys).orderBy("bin")
     per = per.withColumn("upto", F.sum("tokens").over(w)).withColumn("before", F.col("upto") - F.col("tokens"))
-    edge = per.where("due > before and due <= upto").select(*keys, ((F.col("bin") + (F.col("due") - F.col("before")) / F.col("tokens")) / bins).alias("limit"))
+    edges = per.where("due > before and due <= upto").select(*keys, "bin", "before", "tokens", "due").collect()  # at most a row a cell
+    limits = spark.createDataFrame(_limits([tuple(e) for e in edges], bins), "source string, lang string, topic string, limit double")
     return (
-        at.join(F.broadcast(edge), keys, "left")  # at most a row a cell
+        at.join(F.broadcast(limits), keys, "left")  # at most a row a cell
         .withColumn("copies", (F.col("base") + F.when(F.col("u") < F.coalesce("limit", F.lit(0.0)), 1).otherwise(0)).cast("int"))
         .where("copies > 0")
         .select("doc_id", *keys, "n_tokens", "copies")
