@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import problems
+from tessera.plans import problems, quality, sales, temporal
 
-_MODULES = (problems,)
+_MODULES = (problems, sales, temporal, quality)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
