@@ -174,6 +174,14 @@ def brand_pareto(spark: SparkSession, folder: str) -> DataFrame:
     return per.select("item_id", "brand", "units", r(F.col("units") * 100.0 / whole).alias("share"), r(run / whole).alias("cume"))
 
 
+@book.add("select item, place, sum(qty)::bigint units, sum(qty * price)::bigint revenue2, count(distinct order_no) order_count from (select range % 210 item, range % 27 place, range // 4 order_no, 1 + range % 5 qty, 100 + (range * 7) % 900 price from range(5000000)) group by all")
+def scale_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    """Five million made rows added up by item and place, with distinct orders: no table is read."""
+    i = F.col("id")
+    rows = spark.range(5_000_000).select((i % 210).alias("item"), (i % 27).alias("place"), F.floor(i / 4).alias("order_no"), (1 + i % 5).alias("qty"), (100 + (i * 7) % 900).alias("price"))
+    return rows.groupBy("item", "place").agg(F.sum("qty").alias("units"), F.sum(F.col("qty") * F.col("price")).alias("revenue2"), F.count_distinct("order_no").alias("order_count"))
+
+
 @book.add()
 def demand_model_eval(spark: SparkSession, folder: str) -> DataFrame:
     """A linear model and a tree on lagged demand, trained on the past, chosen on a later span, tested on the last; against lag 7.
