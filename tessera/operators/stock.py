@@ -41,7 +41,7 @@ def filled_sheets(inventory: DataFrame, model: units.UnitModel = units.UnitModel
     """
     need = ["inventory_id", "restaurant_id", "item_id", "month_start", *units.FIELDS, "unit"]
     sheets = earliest(inventory.select(*need, "loaded_at"), "inventory_id", need)
-    at = units.normalised(sheets, model)
+    at = units.normalised(sheets, model, ("month_start",))
     nodes = cut(
         at.select(
             "inventory_id", "month_start", (F.year("month_start") * 12 + F.month("month_start")).alias("m"), F.col("_branch").alias("b"), F.col("_item").alias("i"), F.col("dim_").alias("dim"),

@@ -219,9 +219,9 @@ def _global_step(scored: DataFrame, before: dict, model: UnitModel) -> tuple[dic
         k = len(COMPONENTS[dim])
         # a label counts as seen a few times in its own meaning, so that one that is rare isn't turned round
         prior = 5.0 if label == c else 0.02 / k
-        shares[dim, label, c] = (seen.get((dim, label, c), 0.0) + prior) / (total.get((dim, label), 0.0) + 5.0 * bool(label) + 0.02) if (label or total) else was
-        if label == 0 and COMPONENTS[dim][c - 1] in PACKAGES:
-            shares[dim, label, c] = 0.0  # a number that says nothing isn't taken for a number of packages
+        shares[dim, label, c] = (seen.get((dim, label, c), 0.0) + prior) / (total[dim, label] + 5.0 * bool(label) + 0.02) if (dim, label) in total else was
+        if label != c and COMPONENTS[dim][c - 1] in PACKAGES:
+            shares[dim, label, c] = 0.0  # a number is taken for one of packages only where its label says so
         shares[dim, label, c] = max(shares[dim, label, c], 1e-9)
     weight = sum(r.w for r in rows)
     spread = max(0.05, 1.1 * sum(r.d for r in rows) / weight) if weight else 0.3
@@ -279,14 +279,15 @@ def assign(parsed: DataFrame, fitted: tuple[DataFrame, DataFrame, dict], model:
     return at.drop("_parts", "_sheet", "mu_own", "mu_item", "mu_dim", *[f"{f}__{x}" for f in FIELDS for x in ("fit", "p")])
 
 
-def normalised(sheets: DataFrame, model: UnitModel = UnitModel()) -> DataFrame:
+def normalised(sheets: DataFrame, model: UnitModel = UnitModel(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Stock sheets with every number in its item's common unit.
 
-    Input: inventory_id, restaurant_id, item_id, the four FIELDS as text, unit, and any other columns, which stay. Adds per
-    field f: f__num (the number as written), f__used, f__post, f__believed and f__common (in kg, liters or pcs). A number
-    that no stock can be (negative, 1e6 and more) or text gives a null f__common; zero stays zero. Empty input gives no rows.
+    Input: inventory_id, restaurant_id, item_id, the four FIELDS as text, unit; other columns are dropped but for those in keep.
+    Adds per field f: f__num (the number as written), f__used, f__post, f__believed and f__common (in kg, liters or pcs). A
+    number that no stock can be (negative, 1e6 and more) or text gives a null f__common; zero stays zero. Rows with a null item
+    or unit are judged by what is left of item, branch and dimension. Empty input gives no rows.
     """
-    parsed = cut(parse(sheets), "sheets")
+    parsed = cut(parse(sheets.select("inventory_id", "restaurant_id", "item_id", *FIELDS, "unit", *keep)), "sheets")
     at = assign(parsed, fit(parsed, model), model)
     return at.withColumns({
         f"{f}__common": F.when((F.col(f"{f}__num") >= 0) & (F.col(f"{f}__num") < model.impossible), F.col(f"{f}__num") * F.col(f"{f}__used")) for f in FIELDS
