@@ -9,12 +9,14 @@ maximisation over a histogram of the whole table; then every cell gets the unit
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import quantity as Q
-from tessera.functions.keys import key_or_null, let
+from tessera.functions.keys import key_or_null
 from tessera.session import cut
 
 #: Fields of a stock sheet that are written in its unit.
@@ -65,16 +67,26 @@ def usable(c: Column, model: UnitModel = UnitModel()) -> Column:
     return (c > 0) & (c < model.impossible)
 
 
-def _components(dim: Column) -> Column:
-    """The sizes that a number of this dimension may have; those of weight where the dimension is unknown."""
-    arrays = {d: F.array(*[F.lit(float(x)) for x in v]) for d, v in COMPONENTS.items()}
-    return F.when(dim == "volume", arrays["volume"]).when(dim == "count", arrays["count"]).otherwise(arrays["weight"])
+#: The most components that a dimension has; dimensions with fewer are filled up with ones that are never taken.
+WIDEST = max(map(len, COMPONENTS.values()))
+_NEVER = -1e6
 
 
-def _label_no(size: Column, components: Column) -> Column:
-    """Position (from 1) of the component that a label means; 0 if there is no label or the list lacks its size."""
-    near = F.filter(F.transform(components, lambda s, i: F.when(F.abs(F.ln(s / size)) < 0.05, i + 1)), lambda x: x.isNotNull())
-    return F.when(size.isNull(), F.lit(0)).otherwise(F.coalesce(F.get(near, F.lit(0)), F.lit(0))).cast("int")
+def _size(dim: Column, c: int) -> Column:
+    """Size of component c (from 1) of a dimension; that of weight where the dimension is unknown, 1 where it has fewer."""
+    out = F.when(dim.isNull(), F.lit(COMPONENTS["weight"][c - 1]))
+    for d, sizes in COMPONENTS.items():
+        out = out.when(dim == d, F.lit(sizes[c - 1] if c <= len(sizes) else 1.0))
+    return out
+
+
+def _label_no(size: Column, dim: Column) -> Column:
+    """The component (from 1) that a label of this size means; 0 if there is no label or the dimension lacks its size."""
+    out = F.when(size.isNull() | dim.isNull(), F.lit(0))
+    for d, sizes in COMPONENTS.items():
+        for c, s in enumerate(sizes, 1):
+            out = out.when((dim == d) & size.between(s * 0.95, s * 1.05), F.lit(c))
+    return out.otherwise(F.lit(0))
 
 
 def _long(parsed: DataFrame) -> DataFrame:
@@ -103,26 +115,27 @@ def fit(parsed: DataFrame, model: UnitModel = UnitModel()) -> tuple[DataFrame, D
         .groupBy("_item")
         .agg(F.max_by("dim", F.struct("count", "dim")).alias("item_dim"))
     )
-    parts = _components(F.col("dim_"))
+    label = F.when(F.col("dim") == F.col("dim_"), _label_no(F.col("size"), F.col("dim_"))).otherwise(0)
     bins = cut(
-        long.groupBy("_branch", "_item", "field", "dim", "size", F.round(F.ln("num") / model.bin).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-        .join(dims, "_item", "left")
+        long.join(dims, "_item", "left")
         .withColumn("dim_", F.coalesce("item_dim", "dim"))
         .where(F.col("dim_").isNotNull())
-        .withColumn("label", F.when(F.col("dim") == F.col("dim_"), _label_no(F.col("size"), parts)).otherwise(0))
+        .groupBy("_branch", "_item", "field", "dim_", label.alias("label"), F.round(F.ln("num") / model.bin).cast("int").alias("bin"))
+        .agg(F.count("*").cast("double").alias("n"))
         .withColumn("x", F.col("bin") * model.bin)
-        .select("_branch", "_item", "field", "dim_", "label", "x", "n"),
+        .drop("bin"),
         "unit-bins",
     )
-    believed = bins.where("label > 0").withColumn("x", F.col("x") + F.ln(F.get(parts, F.col("label") - 1)))
-    mu = _locations(believed, F.col("x"), F.col("n").cast("double"), median=True)
+    meant = F.lit(None).cast("double")
+    for c in range(1, WIDEST + 1):
+        meant = F.when(F.col("label") == c, F.ln(_size(F.col("dim_"), c))).otherwise(meant)
+    mu = _locations(bins.where("label > 0").withColumn("x", F.col("x") + meant))
     spread, shares = 0.3, _first_shares()
     for _ in range(model.rounds):
-        scored = _expect(bins, mu, shares, spread, model)
-        shares, spread = _global_step(scored, shares, model)
-        mu = cut(_locations(scored, F.col("y"), F.col("w"), median=False), "unit-mu")
-    return dims, mu, {"spread": spread, "shares": shares}
+        sums = cut(_expect(bins, mu, shares, spread, model), "unit-sums")
+        shares, spread = _global_step(sums, shares)
+        mu = _locations(sums)
+    return dims, cut(mu, "unit-mu"), {"spread": spread, "shares": shares}
 
 
 def _first_shares() -> dict[tuple[str, int, int], float]:
@@ -137,35 +150,39 @@ def _first_shares() -> dict[tuple[str, int, int], float]:
 
 
 def _shares_of(dim: Column, label: Column, shares: dict) -> Column:
-    """The array of ln shares for a dimension and a label."""
-    rows = F.create_map(*[
-        x
-        for d, sizes in COMPONENTS.items()
-        for lab in range(len(sizes) + 1)
-        for x in (F.lit(f"{d}{lab}"), F.array(*[F.ln(F.lit(shares[d, lab, c])) for c in range(1, len(sizes) + 1)]))
-    ])
-    return F.element_at(rows, F.concat(F.coalesce(dim, F.lit("weight")), label.cast("string")))
+    """The array of ln shares of all components for a dimension and a label."""
+    rows = []
+    for d, sizes in COMPONENTS.items():
+        for lab in range(len(sizes) + 1):
+            row = [float(np.log(shares[d, lab, c])) if c <= len(sizes) else _NEVER for c in range(1, WIDEST + 1)]
+            rows += [F.lit(f"{d}{lab}"), F.array(*map(F.lit, row))]
+    return F.element_at(F.create_map(*rows), F.concat(F.coalesce(dim, F.lit("weight")), label.cast("string")))
 
 
-def _fit_of(x: Column, mu: Column, size: Column, spread: float, model: UnitModel) -> Column:
+def _fit(x: Column, mu: Column, ln_size: Column, spread: float, model: UnitModel) -> Column:
     """ln density, up to a constant, of ln number x if its unit has this size."""
-    z = (x + F.ln(size) - mu) / F.lit(spread)
-    return -F.lit((model.freedom + 1) / 2) * F.log1p(F.pow(z, F.lit(2)) / F.lit(model.freedom))
+    z = (x + ln_size - mu) / F.lit(spread)
+    return F.lit(-(model.freedom + 1) / 2) * F.log1p(F.pow(z, F.lit(2.0)) / F.lit(model.freedom))
+
 
+def _posteriors(df: DataFrame, scores: list[str], names: list[str]) -> DataFrame:
+    """Adds the softmax of the score columns under names. Plain columns, so that all of it is compiled."""
+    df = df.withColumn("_top", F.greatest(*scores))
+    df = df.withColumns({n: F.exp(F.col(s) - F.col("_top")) for s, n in zip(scores, names)})
+    df = df.withColumn("_all", reduce(lambda a, b: a + b, [F.col(n) for n in names]))
+    return df.withColumns({n: F.col(n) / F.col("_all") for n in names}).drop("_top", "_all")
 
-def _locations(cells: DataFrame, x: Column, w: Column, median: bool) -> DataFrame:
+
+def _locations(cells: DataFrame) -> DataFrame:
     """Typical ln amounts per branch and item, per item, and per dimension, each as a map by field.
 
-    The location of a branch leans on its item's as if by two more numbers.
+    cells: x with weight n (a median is taken), or sums: sy and n (the mean). The location of a branch leans on its item's as
+    if by two more numbers.
     """
-    if median:
-        at = F.percentile(x, F.lit(0.5), F.col("n"))
-        n = F.sum("n").cast("double")
-    else:
-        at, n = F.sum(x * w) / F.sum(w), F.sum(w)
+    at = F.percentile("x", F.lit(0.5), F.col("n").cast("bigint")) if "x" in cells.columns else F.sum("sy") / F.sum("n")
     wide = lambda df, keys: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("field", "m"))).alias("mu"))
     items = cells.where("_item is not null").groupBy("_item", "field").agg(at.alias("m_item"))
-    both = cells.where("_item is not null and _branch is not null").groupBy("_branch", "_item", "field").agg(at.alias("m_own"), n.alias("n_own"))
+    both = cells.where("_item is not null and _branch is not null").groupBy("_branch", "_item", "field").agg(at.alias("m_own"), F.sum("n").alias("n_own"))
     both = both.join(items, ["_item", "field"]).withColumn("m", (F.col("m_own") * F.col("n_own") + 2 * F.col("m_item")) / (F.col("n_own") + 2))
     dims = cells.groupBy("dim_", "field").agg(at.alias("m"))
     return (
@@ -188,44 +205,37 @@ def _mu(field: Column) -> Column:
     return F.coalesce(F.try_element_at("mu_own", field), F.try_element_at("mu_item", field), F.try_element_at("mu_dim", field))
 
 
-def _softmax(scores: Column) -> Column:
-    scaled = let(scores, lambda all_: let(F.array_max(all_), lambda top: F.transform(all_, lambda s: F.exp(s - top))))
-    return let(scaled, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total)))
-
-
 def _expect(bins: DataFrame, mu: DataFrame, shares: dict, spread: float, model: UnitModel) -> DataFrame:
-    """One row per histogram bin and component: y, the ln amount under it, and w, the count times its posterior."""
+    """Sums per branch, item, field, dimension and label: n, sy (of expected ln amounts), dev (of deviations), w1, w2, ... (per component)."""
+    every = range(1, WIDEST + 1)
     at = with_locations(bins, mu).withColumn("m", _mu(F.col("field"))).where("m is not null")
-    parts, prior = _components(F.col("dim_")), _shares_of(F.col("dim_"), F.col("label"), shares)
-    scores = F.zip_with(parts, prior, lambda s, p: p + _fit_of(F.col("x"), F.col("m"), s, spread, model))
-    z = F.posexplode(F.arrays_zip(_softmax(scores).alias("p"), parts.alias("s")))
-    return (
-        at.select("_branch", "_item", "field", "dim_", "label", "n", "x", "m", z.alias("c", "v"))
-        .where("v.p > 0.000001")
-        .select("_branch", "_item", "field", "dim_", "label", (F.col("c") + 1).alias("c"), (F.col("x") + F.ln("v.s")).alias("y"), (F.col("n") * F.col("v.p")).alias("w"), "m")
+    at = at.select("_branch", "_item", "field", "dim_", "label", "n", "x", "m", _shares_of(F.col("dim_"), F.col("label"), shares).alias("lp"))
+    at = at.withColumns({f"l{c}": F.ln(_size(F.col("dim_"), c)) for c in every})
+    at = at.withColumns({f"s{c}": F.get("lp", F.lit(c - 1)) + _fit(F.col("x"), F.col("m"), F.col(f"l{c}"), spread, model) for c in every})
+    at = _posteriors(at, [f"s{c}" for c in every], [f"p{c}" for c in every])
+    y = F.col("x") + reduce(lambda a, b: a + b, [F.col(f"p{c}") * F.col(f"l{c}") for c in every])
+    dev = reduce(lambda a, b: a + b, [F.col(f"p{c}") * F.least(F.abs(F.col("x") + F.col(f"l{c}") - F.col("m")), F.lit(1.0)) for c in every])
+    return at.groupBy("_branch", "_item", "field", "dim_", "label").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * y).alias("sy"), F.sum(F.col("n") * dev).alias("dev"), *[F.sum(F.col("n") * F.col(f"p{c}")).alias(f"w{c}") for c in every]
     )
 
 
-def _global_step(scored: DataFrame, before: dict, model: UnitModel) -> tuple[dict, float]:
-    """New shares and spread. What comes to the driver has at most as many rows as there are labels times components."""
-    dev = F.abs(F.col("y") - F.col("m"))
-    rows = scored.groupBy("dim_", "label", "c").agg(F.sum("w").alias("w"), F.sum(F.least(dev, F.lit(1.0)) * F.col("w")).alias("d")).collect()
-    total = {}
-    for r in rows:
-        total[r.dim_, r.label] = total.get((r.dim_, r.label), 0.0) + r.w
-    seen = {(r.dim_, r.label, r.c): r.w for r in rows}
+def _global_step(sums: DataFrame, before: dict) -> tuple[dict, float]:
+    """New shares and spread. What comes to the driver has a row per dimension and label."""
+    rows = sums.groupBy("dim_", "label").agg(F.sum("n").alias("n"), F.sum("dev").alias("dev"), *[F.sum(f"w{c}").alias(f"w{c}") for c in range(1, WIDEST + 1)]).collect()
+    seen = {(r.dim_, r.label): r for r in rows}
     shares = {}
     for (dim, label, c), was in before.items():
         k = len(COMPONENTS[dim])
         # a label counts as seen a few times in its own meaning, so that one that is rare isn't turned round
         prior = 5.0 if label == c else 0.02 / k
-        shares[dim, label, c] = (seen.get((dim, label, c), 0.0) + prior) / (total[dim, label] + 5.0 * bool(label) + 0.02) if (dim, label) in total else was
+        r = seen.get((dim, label))
+        shares[dim, label, c] = (r[f"w{c}"] + prior) / (r.n + 5.0 * bool(label) + 0.02) if r else was
         if label != c and COMPONENTS[dim][c - 1] in PACKAGES:
             shares[dim, label, c] = 0.0  # a number is taken for one of packages only where its label says so
         shares[dim, label, c] = max(shares[dim, label, c], 1e-9)
-    weight = sum(r.w for r in rows)
-    spread = max(0.05, 1.1 * sum(r.d for r in rows) / weight) if weight else 0.3
-    return shares, spread
+    weight = sum(r.n for r in rows)
+    return shares, max(0.05, 1.1 * sum(r.dev for r in rows) / weight) if weight else 0.3
 
 
 def assign(parsed: DataFrame, fitted: tuple[DataFrame, DataFrame, dict], model: UnitModel = UnitModel()) -> DataFrame:
@@ -235,48 +245,46 @@ def assign(parsed: DataFrame, fitted: tuple[DataFrame, DataFrame, dict], model:
     judged alone.
     """
     dims, mu, par = fitted
+    every = range(1, WIDEST + 1)
     first_dim = F.coalesce("item_dim", "unit__dim", *[f"{f}__dim" for f in FIELDS])
+    dim = F.col("dim_")
     at = with_locations(parsed.join(dims, "_item", "left").withColumn("dim_", first_dim), mu)
-    parts = _components(F.col("dim_"))
-    at = at.withColumn("_parts", parts)
-
-    def fits(f: str) -> Column:
-        num, m = F.col(f"{f}__num"), _mu(F.lit(f))
-        return F.transform(
-            F.col("_parts"), lambda s: F.when(usable(num, model) & m.isNotNull(), _fit_of(F.ln(num), m, s, par["spread"], model)).otherwise(F.lit(0.0))
-        )
 
-    def prior(size: Column, dim: Column) -> Column:
-        label = F.when(dim.isNull() | (dim == F.col("dim_")), _label_no(size, F.col("_parts"))).otherwise(0)
-        return _shares_of(F.col("dim_"), label, par["shares"])
+    def label_of(f: str) -> Column:
+        return F.when(F.col(f"{f}__dim").isNull() | (F.col(f"{f}__dim") == dim), _label_no(F.col(f"{f}__size"), dim)).otherwise(0)
 
-    at = at.withColumns({f"{f}__fit": fits(f) for f in FIELDS})
-    sheet = prior(F.col("unit__size"), F.col("unit__dim"))
-    for f in FIELDS:
-        shared = F.when(F.col(f"{f}__size").isNull(), F.col(f"{f}__fit")).otherwise(F.transform(F.col("_parts"), lambda s: F.lit(0.0)))
-        sheet = F.zip_with(sheet, shared, lambda a, b: a + b)
-    at = at.withColumn("_sheet", _softmax(sheet))
-    at = at.withColumns({
-        f"{f}__p": F.when(F.col(f"{f}__size").isNull(), F.col("_sheet")).otherwise(
-            _softmax(F.zip_with(prior(F.col(f"{f}__size"), F.col(f"{f}__dim")), F.col(f"{f}__fit"), lambda a, b: a + b))
-        )
-        for f in FIELDS
-    })
-    out = {}
+    at = at.withColumns({f"no_{f}": label_of(f) for f in (*FIELDS, "unit")} | {f"m_{f}": _mu(F.lit(f)) for f in FIELDS} | {f"l{c}": F.ln(_size(dim, c)) for c in every})
+    at = at.withColumns(
+        {f"lp_{f}": F.when(F.col(f"{f}__size").isNotNull(), _shares_of(dim, F.col(f"no_{f}"), par["shares"])) for f in FIELDS}
+        | {"lp_unit": _shares_of(dim, F.col("no_unit"), par["shares"])}
+        | {f"x_{f}": F.when(usable(F.col(f"{f}__num"), model) & F.col(f"m_{f}").isNotNull(), F.ln(f"{f}__num")) for f in FIELDS}
+    )
+    at = at.withColumns({f"fit_{f}_{c}": F.coalesce(_fit(F.col(f"x_{f}"), F.col(f"m_{f}"), F.col(f"l{c}"), par["spread"], model), F.lit(0.0)) for f in FIELDS for c in every})
+    shared = lambda f, c: F.when(F.col(f"{f}__size").isNull(), F.col(f"fit_{f}_{c}")).otherwise(0.0)
+    at = at.withColumns({f"sheet_{c}": reduce(lambda a, b: a + b, [shared(f, c) for f in FIELDS], F.get("lp_unit", F.lit(c - 1))) for c in every})
     for f in FIELDS:
-        label = F.coalesce(f"{f}__size", "unit__size")
-        label_dim = F.coalesce(f"{f}__dim", "unit__dim")
-        no = F.when(label_dim == F.col("dim_"), _label_no(label, F.col("_parts"))).otherwise(0)
-        p, top = F.col(f"{f}__p"), F.array_max(f"{f}__p")
-        best = F.get(F.col("_parts"), (F.array_position(p, top) - 1).cast("int"))
-        own = F.get(p, no - 1)
-        refuted = (no > 0) & (own < model.doubt) & (F.abs(F.ln(best / label)) >= F.ln(F.lit(model.plain)))
+        own = lambda c: F.get(f"lp_{f}", F.lit(c - 1)) + F.col(f"fit_{f}_{c}")  # noqa: B023, E731
+        at = at.withColumns({f"_s{c}": F.when(F.col(f"{f}__size").isNull(), F.col(f"sheet_{c}")).otherwise(own(c)) for c in every})
+        at = _posteriors(at, [f"_s{c}" for c in every], [f"_p{c}" for c in every])
+        at = at.withColumn("_best", F.greatest(*[f"_p{c}" for c in every]))
+        label, label_dim = F.coalesce(f"{f}__size", "unit__size"), F.coalesce(f"{f}__dim", "unit__dim")
+        no = F.when(label_dim == dim, F.when(F.col(f"{f}__size").isNotNull(), F.col(f"no_{f}")).otherwise(F.col("no_unit"))).otherwise(0)
+        best_size, own_post = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for c in reversed(every):
+            best_size = F.when(F.col(f"_p{c}") >= F.col("_best"), _size(dim, c)).otherwise(best_size)
+            own_post = F.when(F.col("_no") == c, F.col(f"_p{c}")).otherwise(own_post)
+        at = at.withColumn("_no", no).withColumns({"_size": best_size, "_own": own_post})
+        refuted = (F.col("_no") > 0) & (F.col("_own") < model.doubt) & (F.abs(F.ln(F.col("_size") / label)) >= float(np.log(model.plain)))
+        at = at.withColumn("_refuted", refuted)
+        kept, strange = (F.col("_no") > 0) & ~F.col("_refuted"), (F.col("_no") == 0) & F.coalesce(label_dim == dim, F.lit(False))
         # a label of the right dimension whose size the list lacks is taken at its word
-        out[f"{f}__used"] = F.when((no > 0) & ~refuted, label).when((no == 0) & (label_dim == F.col("dim_")), label).otherwise(best)
-        out[f"{f}__post"] = F.when((no > 0) & ~refuted, own).when((no == 0) & (label_dim == F.col("dim_")), F.lit(1.0)).otherwise(top)
-        out[f"{f}__believed"] = F.when(label.isNotNull(), (label_dim == F.col("dim_")) & ~refuted)
-    at = at.withColumns(out)
-    return at.drop("_parts", "_sheet", "mu_own", "mu_item", "mu_dim", *[f"{f}__{x}" for f in FIELDS for x in ("fit", "p")])
+        at = at.withColumns({
+            f"{f}__used": F.when(kept | strange, label).otherwise(F.col("_size")),
+            f"{f}__post": F.when(kept, F.col("_own")).when(strange, F.lit(1.0)).otherwise(F.col("_best")),
+            f"{f}__believed": F.when(label.isNotNull(), F.coalesce(label_dim == dim, F.lit(False)) & ~F.coalesce("_refuted", F.lit(False))),
+        })
+    keep = [*parsed.columns, "item_dim", "dim_", *[f"{f}__{x}" for f in FIELDS for x in ("used", "post", "believed")]]
+    return at.select(*keep)
 
 
 def normalised(sheets: DataFrame, model: UnitModel = UnitModel(), keep: tuple[str, ...] = ()) -> DataFrame:
