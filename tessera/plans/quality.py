@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arith import r
 from tessera.operators import relational as R
-from tessera.plans import star, temporal
+from tessera.plans import problems, star, temporal
 from tessera.plans.book import Book
 from tessera.sources import ingest
 from tessera.sources.catalog import CATALOG, table
@@ -201,4 +201,46 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return demand.compare(temporal.panel(spark, folder))
 
 
+@book.add()
+def wastage_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Next month's high wastage per brand and type, tested on the last months. Rows only: no SQL trains models."""
+    from tessera.ml import waste
+
+    li = star.lines(spark, folder).where("flag = 'R'").join(star.items(spark, folder), "item_id")
+    return waste.evaluate(li.select(F.concat_ws("/", "brand", "category").alias("item"), F.to_date(F.trunc("ship_day", "month")).alias("month"), F.col("qty").alias("prepared"), (F.col("qty") * F.col("discount2") / 100.0).alias("wasted")))
+
+
+@book.add()
+def stock_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Stock sheets whose opening + received - consumed differs from closing by more than a fiftieth, in common units.
+
+    The units come from the mixture of problem 4, so there is no SQL; sheets with a missing number aren't judged.
+    """
+    from tessera.operators import units
+
+    at = units.normalised(problems._sheets(spark, folder))
+    o, rec, c, e = (F.col(f"{f}__common") for f in units.FIELDS)
+    off = o + rec - c - e
+    return at.where(F.abs(off) > 0.02 * F.greatest(o + rec, F.lit(1.0)) + 0.3).select("inventory_id", r(o, 3).alias("opening"), r(rec, 3).alias("received"), r(c, 3).alias("consumed"), r(e, 3).alias("closing"), r(off, 3).alias("off"))
+
+
+@book.add(
+    """select order_id, line_no, item_name, brand, location, region, channel, total4 / 10000.0 total from sales where channel = '1-URGENT'"""
+)
+def named_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with the names of everything that they refer to: left joins on dimensions."""
+    s = star.sales(spark, folder).where("channel = '1-URGENT'")
+    return s.select("order_id", "line_no", "item_name", "brand", "location", "region", "channel", star.money(F.col("total4")).alias("total"))
+
+
+@book.add(
+    """select metric, round(value, 6) as value from (select count(*)::double items, count(*) filter (p < 0)::double losing, avg(p * 100.0 / nullif(t, 0)) mean_margin, max(units)::double most_units, sum(d) * 100.0 / sum(g) discount_share from (
+      select item_id, sum(qty)::bigint units, sum(total4)::bigint t, sum(profit4)::bigint p, sum(gross4)::bigint g, sum(gross4 - total4)::bigint d from sales group by 1)) unpivot (value for metric in (items, losing, mean_margin, most_units, discount_share))"""
+)
+def kpi_menu(spark: SparkSession, folder: str) -> DataFrame:
+    per = star.sales(spark, folder).groupBy("item_id").agg(F.sum("qty").alias("units"), F.sum("total4").alias("t"), F.sum("profit4").alias("p"), F.sum("gross4").alias("g"))
+    one = per.agg(F.count("*").alias("items"), F.count_if(F.col("p") < 0).alias("losing"), F.avg(F.col("p") * 100.0 / F.nullif("t", F.lit(0))).alias("mean_margin"), F.max("units").alias("most_units"), ((F.sum("g") - F.sum("t")) * 100.0 / F.sum("g")).alias("discount_share"))
+    return R.unpivot(one, [], ["items", "losing", "mean_margin", "most_units", "discount_share"]).withColumn("value", r(F.col("value")))
+
+
 QUERIES, SQL = book.queries, book.sql

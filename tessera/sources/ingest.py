@@ -110,3 +110,37 @@ def quarantine(df: DataFrame, keys: list[str], valid: Column, reason: str) -> tu
     kept = marked.where("_ok and _n = 1").drop("_ok", "_n")
     aside = marked.where("not (_ok and _n = 1)").withColumn("reason", F.when(~F.col("_ok"), F.lit(reason)).otherwise("repeated")).drop("_ok", "_n")
     return kept, aside
+
+
+def file_inventory(spark: SparkSession, pattern: str) -> DataFrame:
+    """path, bytes and SHA-256 of files, read and hashed on the executors."""
+    f = spark.read.format("binaryFile").load(pattern)
+    return f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def append_new(new: DataFrame, path: str, keys: list[str]) -> int:
+    """Appends the rows whose key the Parquet table at path lacks (all, if there is none); repeated new keys go in once.
+
+    Returns the number of appended rows. Keys are compared as they stand; rows with a null key are left out.
+    """
+    from pyspark.errors import AnalysisException
+
+    for k in keys:
+        new = new.where(F.col(k).isNotNull())
+    new = new.dropDuplicates(keys)
+    try:
+        new = new.join(new.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+    except AnalysisException:
+        pass  # no table yet
+    rows = cut(new, "append")
+    rows.write.mode("append").parquet(path)
+    return rows.count()
+
+
+def same_table(a: DataFrame, b: DataFrame) -> dict[str, object]:
+    """Whether two tables hold the same rows in any order: columns in both, rows of each, equal (by fingerprint of common columns)."""
+    from tessera.operators.relational import fingerprint
+
+    common = [c for c in a.columns if c in b.columns]
+    x, y = fingerprint(a, common).first(), fingerprint(b, common).first()
+    return {"columns": a.columns == b.columns, "rows": (x["rows"], y["rows"]), "equal": x == y and a.columns == b.columns}

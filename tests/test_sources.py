@@ -50,3 +50,15 @@ def test_quarantine(spark):
 def test_schema_differences():
     other = T.StructType([T.StructField("id", T.LongType()), T.StructField("z", T.StringType())])
     assert ingest.schema_differences(other, SCHEMA) == {"missing": ["d", "m", "n", "ok"], "unexpected": ["z"], "mistyped": [("id", "bigint", "string")]}
+
+
+def test_append_new_and_inventory(spark, tmp_path):
+    path = str(tmp_path / "t")
+    a = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    assert ingest.append_new(a, path, ["k"]) == 2
+    assert ingest.append_new(spark.createDataFrame([(2, "z"), (3, "c")], "k int, v string"), path, ["k"]) == 1
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+    (tmp_path / "f.csv").write_text("x\n")
+    row = ingest.file_inventory(spark, str(tmp_path / "f.csv")).first()
+    assert row["bytes"] == 2 and len(row.sha256) == 64
+    assert ingest.same_table(a, a.repartition(3))["equal"] and not ingest.same_table(a, a.limit(2))["equal"]
