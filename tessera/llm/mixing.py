@@ -57,7 +57,7 @@ def language(text: str | None, label: str | None) -> str:
     if best and seen[best] >= 3:
         return best
     label = (label or "").strip().lower()
-    return label if label in STOP_WORDS else best or "unknown"
+    return label if label in STOP_WORDS else best if seen.get(best) else "unknown"
 
 
 def profiles(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -153,7 +153,7 @@ def selection(texts: DataFrame, targets: DataFrame, bins: int = 4096) -> DataFra
     texts: as from `profiles`. targets: source, target_share, max_repeats (few rows). Sources that aren't listed, and listed ones
     without a share or repeats, give nothing; shares of listed sources without texts are spread over the others in proportion.
     """
-    texts = cut(texts, "texts")
+    texts = cut(texts.select("doc_id", "source", "lang", "topic", "n_tokens"), "texts")
     want = targets.select(source_key("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").limit(10_000).collect()
     shares, repeats = {r.source: float(r.target_share) for r in want}, {r.source: int(r.max_repeats) for r in want}
     listed = texts.where(F.col("source").isin(list(shares)))

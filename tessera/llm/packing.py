@@ -141,7 +141,7 @@ def packs(sized: DataFrame, capacities: DataFrame, shard_tokens: int = 4_000_000
     are items of size 0. Rows without doc_id are ignored; a repeated doc_id is packed as often as it occurs. shard_tokens bounds
     what one task packs, whatever the table's size; a shard leaves a few packs partly empty, far below a thousandth of its packs.
     """
-    sized = cut(sized.where("doc_id is not null"), "sized")
+    sized = cut(sized.where("doc_id is not null").select("doc_id", "source", "n_tokens", "tags"), "sized")
     total = sized.agg(F.sum(F.col("n_tokens") + 200)).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     sizes = capacities.where("pack_name is not null and capacity_tokens >= 1").select("pack_name", F.col("capacity_tokens").alias("capacity")).distinct()
