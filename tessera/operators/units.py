@@ -8,12 +8,14 @@ maximisation over a histogram of the whole table; then every cell gets the unit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tessera.functions import quantity as Q
 from tessera.functions.keys import key_or_null
@@ -67,26 +69,42 @@ def usable(c: Column, model: UnitModel = UnitModel()) -> Column:
     return (c > 0) & (c < model.impossible)
 
 
+DIMENSIONS = tuple(COMPONENTS)
 #: The most components that a dimension has; dimensions with fewer are filled up with ones that are never taken.
 WIDEST = max(map(len, COMPONENTS.values()))
-_NEVER = -1e6
+_SIZES = np.array([[*sizes, *[1.0] * (WIDEST - len(sizes))] for sizes in COMPONENTS.values()])
+_REAL = np.array([[c < len(sizes) for c in range(WIDEST)] for sizes in COMPONENTS.values()])
 
 
-def _size(dim: Column, c: int) -> Column:
-    """Size of component c (from 1) of a dimension; that of weight where the dimension is unknown, 1 where it has fewer."""
-    out = F.when(dim.isNull(), F.lit(COMPONENTS["weight"][c - 1]))
-    for d, sizes in COMPONENTS.items():
-        out = out.when(dim == d, F.lit(sizes[c - 1] if c <= len(sizes) else 1.0))
-    return out
+def _dim_no(dim: pd.Series) -> np.ndarray:
+    """Number of each dimension; weight where it is unknown."""
+    return dim.map({d: k for k, d in enumerate(DIMENSIONS)}).fillna(0).to_numpy(dtype=np.int64)
 
 
-def _label_no(size: Column, dim: Column) -> Column:
+def _label_no(size: np.ndarray, dim: np.ndarray) -> np.ndarray:
     """The component (from 1) that a label of this size means; 0 if there is no label or the dimension lacks its size."""
-    out = F.when(size.isNull() | dim.isNull(), F.lit(0))
-    for d, sizes in COMPONENTS.items():
-        for c, s in enumerate(sizes, 1):
-            out = out.when((dim == d) & size.between(s * 0.95, s * 1.05), F.lit(c))
-    return out.otherwise(F.lit(0))
+    with np.errstate(invalid="ignore"):
+        near = (np.abs(size[:, None] / _SIZES[dim] - 1) < 0.05) & _REAL[dim]
+    return np.where(near.any(axis=1), near.argmax(axis=1) + 1, 0)
+
+
+def _ln_shares(shares: dict) -> np.ndarray:
+    """ln shares by dimension, label and component."""
+    out = np.full((len(DIMENSIONS), WIDEST + 1, WIDEST), -1e6)
+    for (dim, label, c), v in shares.items():
+        out[DIMENSIONS.index(dim), label, c - 1] = np.log(v)
+    return out
+
+
+def _fit_of(x: np.ndarray, mu: np.ndarray, dim: np.ndarray, spread: float, model: UnitModel) -> np.ndarray:
+    """ln density, up to a constant, of each ln number under each component; 0 where the number or its location is unknown."""
+    z = (x[:, None] + np.log(_SIZES[dim]) - mu[:, None]) / spread
+    return np.nan_to_num(-(model.freedom + 1) / 2 * np.log1p(z * z / model.freedom), nan=0.0)
+
+
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def _long(parsed: DataFrame) -> DataFrame:
@@ -115,21 +133,19 @@ def fit(parsed: DataFrame, model: UnitModel = UnitModel()) -> tuple[DataFrame, D
         .groupBy("_item")
         .agg(F.max_by("dim", F.struct("count", "dim")).alias("item_dim"))
     )
-    label = F.when(F.col("dim") == F.col("dim_"), _label_no(F.col("size"), F.col("dim_"))).otherwise(0)
+    # a label's meaning as ln of its size; 0 and no meaning where the label is of another dimension
+    meant = F.when((F.col("dim") == F.col("dim_")) & (F.col("size") > 0), F.round(F.ln("size"), 4))
     bins = cut(
         long.join(dims, "_item", "left")
         .withColumn("dim_", F.coalesce("item_dim", "dim"))
         .where(F.col("dim_").isNotNull())
-        .groupBy("_branch", "_item", "field", "dim_", label.alias("label"), F.round(F.ln("num") / model.bin).cast("int").alias("bin"))
+        .groupBy("_branch", "_item", "field", "dim_", meant.alias("meant"), F.round(F.ln("num") / model.bin).cast("int").alias("bin"))
         .agg(F.count("*").cast("double").alias("n"))
         .withColumn("x", F.col("bin") * model.bin)
         .drop("bin"),
         "unit-bins",
     )
-    meant = F.lit(None).cast("double")
-    for c in range(1, WIDEST + 1):
-        meant = F.when(F.col("label") == c, F.ln(_size(F.col("dim_"), c))).otherwise(meant)
-    mu = _locations(bins.where("label > 0").withColumn("x", F.col("x") + meant))
+    mu = _locations(bins.where("meant is not null").withColumn("x", F.col("x") + F.col("meant")))
     spread, shares = 0.3, _first_shares()
     for _ in range(model.rounds):
         sums = cut(_expect(bins, mu, shares, spread, model), "unit-sums")
@@ -149,30 +165,6 @@ def _first_shares() -> dict[tuple[str, int, int], float]:
     return out
 
 
-def _shares_of(dim: Column, label: Column, shares: dict) -> Column:
-    """The array of ln shares of all components for a dimension and a label."""
-    rows = []
-    for d, sizes in COMPONENTS.items():
-        for lab in range(len(sizes) + 1):
-            row = [float(np.log(shares[d, lab, c])) if c <= len(sizes) else _NEVER for c in range(1, WIDEST + 1)]
-            rows += [F.lit(f"{d}{lab}"), F.array(*map(F.lit, row))]
-    return F.element_at(F.create_map(*rows), F.concat(F.coalesce(dim, F.lit("weight")), label.cast("string")))
-
-
-def _fit(x: Column, mu: Column, ln_size: Column, spread: float, model: UnitModel) -> Column:
-    """ln density, up to a constant, of ln number x if its unit has this size."""
-    z = (x + ln_size - mu) / F.lit(spread)
-    return F.lit(-(model.freedom + 1) / 2) * F.log1p(F.pow(z, F.lit(2.0)) / F.lit(model.freedom))
-
-
-def _posteriors(df: DataFrame, scores: list[str], names: list[str]) -> DataFrame:
-    """Adds the softmax of the score columns under names. Plain columns, so that all of it is compiled."""
-    df = df.withColumn("_top", F.greatest(*scores))
-    df = df.withColumns({n: F.exp(F.col(s) - F.col("_top")) for s, n in zip(scores, names)})
-    df = df.withColumn("_all", reduce(lambda a, b: a + b, [F.col(n) for n in names]))
-    return df.withColumns({n: F.col(n) / F.col("_all") for n in names}).drop("_top", "_all")
-
-
 def _locations(cells: DataFrame) -> DataFrame:
     """Typical ln amounts per branch and item, per item, and per dimension, each as a map by field.
 
@@ -205,19 +197,31 @@ def _mu(field: Column) -> Column:
     return F.coalesce(F.try_element_at("mu_own", field), F.try_element_at("mu_item", field), F.try_element_at("mu_dim", field))
 
 
+_SUMS = ["n", "sy", "dev", *[f"w{c}" for c in range(1, WIDEST + 1)]]
+
+
 def _expect(bins: DataFrame, mu: DataFrame, shares: dict, spread: float, model: UnitModel) -> DataFrame:
-    """Sums per branch, item, field, dimension and label: n, sy (of expected ln amounts), dev (of deviations), w1, w2, ... (per component)."""
-    every = range(1, WIDEST + 1)
-    at = with_locations(bins, mu).withColumn("m", _mu(F.col("field"))).where("m is not null")
-    at = at.select("_branch", "_item", "field", "dim_", "label", "n", "x", "m", _shares_of(F.col("dim_"), F.col("label"), shares).alias("lp"))
-    at = at.withColumns({f"l{c}": F.ln(_size(F.col("dim_"), c)) for c in every})
-    at = at.withColumns({f"s{c}": F.get("lp", F.lit(c - 1)) + _fit(F.col("x"), F.col("m"), F.col(f"l{c}"), spread, model) for c in every})
-    at = _posteriors(at, [f"s{c}" for c in every], [f"p{c}" for c in every])
-    y = F.col("x") + reduce(lambda a, b: a + b, [F.col(f"p{c}") * F.col(f"l{c}") for c in every])
-    dev = reduce(lambda a, b: a + b, [F.col(f"p{c}") * F.least(F.abs(F.col("x") + F.col(f"l{c}") - F.col("m")), F.lit(1.0)) for c in every])
-    return at.groupBy("_branch", "_item", "field", "dim_", "label").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * y).alias("sy"), F.sum(F.col("n") * dev).alias("dev"), *[F.sum(F.col("n") * F.col(f"p{c}")).alias(f"w{c}") for c in every]
-    )
+    """Sums per branch, item, field, dimension and label: n, sy (of expected ln amounts), dev (of deviations), w1, w2, ... (per component).
+
+    Bins go through numpy in Arrow batches, each of which gives its partial sums. As columns of their own, the six components
+    made plans of megabytes, whose planning took the driver longer than the rows.
+    """
+    at = with_locations(bins, mu).select("_branch", "_item", "field", "dim_", "meant", "n", "x", _mu(F.col("field")).alias("m")).where("m is not null")
+    table = _ln_shares(shares)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            dim, x, m, n = _dim_no(b["dim_"]), b["x"].to_numpy(float), b["m"].to_numpy(float), b["n"].to_numpy(float)
+            label = _label_no(np.exp(b["meant"].to_numpy(float)), dim)
+            p = _softmax(table[dim, label] + _fit_of(x, m, dim, spread, model))
+            ln_size = np.log(_SIZES[dim])
+            out = b[["_branch", "_item", "field", "dim_"]].assign(label=label.astype(np.int32), n=n, sy=n * (x + (p * ln_size).sum(axis=1)))
+            out["dev"] = n * (p * np.minimum(np.abs(x[:, None] + ln_size - m[:, None]), 1.0)).sum(axis=1)
+            out[_SUMS[3:]] = n[:, None] * p
+            yield out.groupby(["_branch", "_item", "field", "dim_", "label"], dropna=False, sort=False, as_index=False)[_SUMS].sum()
+
+    schema = "_branch string, _item string, field string, dim_ string, label int, " + ", ".join(f"{c} double" for c in _SUMS)
+    return at.mapInPandas(run, schema).groupBy("_branch", "_item", "field", "dim_", "label").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
 def _global_step(sums: DataFrame, before: dict) -> tuple[dict, float]:
@@ -245,46 +249,50 @@ def assign(parsed: DataFrame, fitted: tuple[DataFrame, DataFrame, dict], model:
     judged alone.
     """
     dims, mu, par = fitted
-    every = range(1, WIDEST + 1)
     first_dim = F.coalesce("item_dim", "unit__dim", *[f"{f}__dim" for f in FIELDS])
-    dim = F.col("dim_")
     at = with_locations(parsed.join(dims, "_item", "left").withColumn("dim_", first_dim), mu)
-
-    def label_of(f: str) -> Column:
-        return F.when(F.col(f"{f}__dim").isNull() | (F.col(f"{f}__dim") == dim), _label_no(F.col(f"{f}__size"), dim)).otherwise(0)
-
-    at = at.withColumns({f"no_{f}": label_of(f) for f in (*FIELDS, "unit")} | {f"m_{f}": _mu(F.lit(f)) for f in FIELDS} | {f"l{c}": F.ln(_size(dim, c)) for c in every})
-    at = at.withColumns(
-        {f"lp_{f}": F.when(F.col(f"{f}__size").isNotNull(), _shares_of(dim, F.col(f"no_{f}"), par["shares"])) for f in FIELDS}
-        | {"lp_unit": _shares_of(dim, F.col("no_unit"), par["shares"])}
-        | {f"x_{f}": F.when(usable(F.col(f"{f}__num"), model) & F.col(f"m_{f}").isNotNull(), F.ln(f"{f}__num")) for f in FIELDS}
-    )
-    at = at.withColumns({f"fit_{f}_{c}": F.coalesce(_fit(F.col(f"x_{f}"), F.col(f"m_{f}"), F.col(f"l{c}"), par["spread"], model), F.lit(0.0)) for f in FIELDS for c in every})
-    shared = lambda f, c: F.when(F.col(f"{f}__size").isNull(), F.col(f"fit_{f}_{c}")).otherwise(0.0)
-    at = at.withColumns({f"sheet_{c}": reduce(lambda a, b: a + b, [shared(f, c) for f in FIELDS], F.get("lp_unit", F.lit(c - 1))) for c in every})
-    for f in FIELDS:
-        own = lambda c: F.get(f"lp_{f}", F.lit(c - 1)) + F.col(f"fit_{f}_{c}")  # noqa: B023, E731
-        at = at.withColumns({f"_s{c}": F.when(F.col(f"{f}__size").isNull(), F.col(f"sheet_{c}")).otherwise(own(c)) for c in every})
-        at = _posteriors(at, [f"_s{c}" for c in every], [f"_p{c}" for c in every])
-        at = at.withColumn("_best", F.greatest(*[f"_p{c}" for c in every]))
-        label, label_dim = F.coalesce(f"{f}__size", "unit__size"), F.coalesce(f"{f}__dim", "unit__dim")
-        no = F.when(label_dim == dim, F.when(F.col(f"{f}__size").isNotNull(), F.col(f"no_{f}")).otherwise(F.col("no_unit"))).otherwise(0)
-        best_size, own_post = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for c in reversed(every):
-            best_size = F.when(F.col(f"_p{c}") >= F.col("_best"), _size(dim, c)).otherwise(best_size)
-            own_post = F.when(F.col("_no") == c, F.col(f"_p{c}")).otherwise(own_post)
-        at = at.withColumn("_no", no).withColumns({"_size": best_size, "_own": own_post})
-        refuted = (F.col("_no") > 0) & (F.col("_own") < model.doubt) & (F.abs(F.ln(F.col("_size") / label)) >= float(np.log(model.plain)))
-        at = at.withColumn("_refuted", refuted)
-        kept, strange = (F.col("_no") > 0) & ~F.col("_refuted"), (F.col("_no") == 0) & F.coalesce(label_dim == dim, F.lit(False))
-        # a label of the right dimension whose size the list lacks is taken at its word
-        at = at.withColumns({
-            f"{f}__used": F.when(kept | strange, label).otherwise(F.col("_size")),
-            f"{f}__post": F.when(kept, F.col("_own")).when(strange, F.lit(1.0)).otherwise(F.col("_best")),
-            f"{f}__believed": F.when(label.isNotNull(), F.coalesce(label_dim == dim, F.lit(False)) & ~F.coalesce("_refuted", F.lit(False))),
-        })
-    keep = [*parsed.columns, "item_dim", "dim_", *[f"{f}__{x}" for f in FIELDS for x in ("used", "post", "believed")]]
-    return at.select(*keep)
+    at = at.select(*parsed.columns, "item_dim", "dim_", *[_mu(F.lit(f)).alias(f"{f}__mu") for f in FIELDS])
+    table, spread = _ln_shares(par["shares"]), par["spread"]
+    added = {f"{f}__{x}": kind for f in FIELDS for x, kind in (("used", "double"), ("post", "double"), ("believed", "boolean"))}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            dim = _dim_no(b["dim_"])
+            known = b["dim_"].notna().to_numpy()
+            fits, own, labels, sizes, fitting = {}, {}, {}, {}, {}
+            for f in (*FIELDS, "unit"):
+                sizes[f] = b[f"{f}__size"].to_numpy(float)
+                same = (b[f"{f}__dim"] == b["dim_"]).to_numpy() & known
+                fitting[f] = same
+                labels[f] = np.where(same | ~b[f"{f}__dim"].notna().to_numpy(), _label_no(sizes[f], dim), 0)
+            sheet = table[dim, labels["unit"]].copy()
+            for f in FIELDS:
+                num = b[f"{f}__num"].to_numpy(float)
+                with np.errstate(all="ignore"):
+                    x = np.where((num > 0) & (num < model.impossible), np.log(num), np.nan)
+                fits[f] = _fit_of(x, b[f"{f}__mu"].to_numpy(float), dim, spread, model)
+                own[f] = ~np.isnan(sizes[f])
+                sheet += np.where(own[f][:, None], 0.0, fits[f])
+            out = b.copy()
+            rows = np.arange(len(b))
+            for f in FIELDS:
+                p = _softmax(np.where(own[f][:, None], table[dim, labels[f]] + fits[f], sheet))
+                best = p.argmax(axis=1)
+                size = np.where(own[f], sizes[f], sizes["unit"])
+                same = np.where(own[f], fitting[f], fitting["unit"])
+                no = np.where(same, np.where(own[f], labels[f], labels["unit"]), 0)
+                mine = p[rows, np.maximum(no - 1, 0)]
+                with np.errstate(all="ignore"):
+                    refuted = (no > 0) & (mine < model.doubt) & (np.abs(np.log(_SIZES[dim, best] / size)) >= np.log(model.plain))
+                kept, strange = (no > 0) & ~refuted, (no == 0) & same & ~np.isnan(size)
+                # a label of the right dimension whose size the list lacks is taken at its word
+                out[f"{f}__used"] = np.where(kept | strange, size, _SIZES[dim, best])
+                out[f"{f}__post"] = np.where(kept, mine, np.where(strange, 1.0, p.max(axis=1)))
+                out[f"{f}__believed"] = pd.Series(np.where(np.isnan(size), None, same & ~refuted), index=b.index, dtype=object)
+            yield out
+
+    schema = StructType([*at.schema.fields, *[StructField(k, DoubleType() if v == "double" else BooleanType()) for k, v in added.items()]])
+    return at.mapInPandas(run, schema).drop(*[f"{f}__mu" for f in FIELDS])
 
 
 def normalised(sheets: DataFrame, model: UnitModel = UnitModel(), keep: tuple[str, ...] = ()) -> DataFrame:

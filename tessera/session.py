@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +62,22 @@ def _drop(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session is gone
         pass
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once per application: they needn't have it, nor the driver's working folder."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    home = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="tessera-ship-"))  # the driver's own: Spark serves the file to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    path = folder / "tessera_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(path))

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import ship
+
 
 @dataclass(frozen=True)
 class Table:
@@ -39,6 +41,7 @@ CATALOG = {
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table `name` of a folder of Parquet tables. Only columns that the plan uses are read."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
