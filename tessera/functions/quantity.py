@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.keys import col, let, strip
+from tessera.functions.keys import WHITE_SPACE, col, let, strip
 
 # Units of each dimension as (spellings, size in the common unit). Common units: kg, liters, pcs.
 UNITS = {
@@ -91,3 +93,41 @@ def unit_of(label: str | Column) -> Column:
         )
 
     return let(F.lower(strip(col(label))), read)
+
+
+# ---------------------------------------------------------------- the same in Python, for columns that go through Arrow anyway
+
+_PY_CELL = re.compile("(" + _NUMBER + r")\s*([A-Za-z(].*)?", re.S)
+_PY_GROUPED = re.compile(r"[-+]?[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:\.[0-9]+)?")
+_PY_DOTTED = re.compile(r"[-+]?[1-9][0-9]{0,2}(?:(?:\.[0-9]{3})+,[0-9]+|(?:\.[0-9]{3}){2,})")
+_PY_UNIT = re.compile(_UNIT_WORD)
+_PY_CONTENT = re.compile("[0-9]+(?:[.,][0-9]+)?")
+_PY_COUNTED = re.compile(r"(?:^|[^a-z])(?:" + "|".join(COUNTED_PACKAGES) + ")(?:[^a-z]|$)")
+
+
+def read_number(text: str) -> float | None:
+    """`to_number` of a text."""
+    t = re.sub("[' \u00a0\u202f]", "", text)
+    if "," in t or _PY_DOTTED.fullmatch(t):
+        t = t.replace(",", "") if _PY_GROUPED.fullmatch(t) else t.replace(".", "").replace(",", ".") if _PY_DOTTED.fullmatch(t) else t.replace(",", ".")
+    return float(t) if re.fullmatch(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", t) else None
+
+
+def read_unit(label: str | None) -> tuple[str | None, float | None]:
+    """`unit_of` a label: (dimension, size), (None, None) if it names no unit."""
+    low = (label or "").strip(WHITE_SPACE).lower()
+    word, content = _PY_UNIT.search(low), _PY_CONTENT.search(low)
+    size = (read_number(content.group()) if content else None) or 1.0
+    if word:
+        dim, one = _WORDS[word.group(1)]
+        return dim, one * size
+    return ("count", size) if content and _PY_COUNTED.search(low) else (None, None)
+
+
+def read_cell(cell: str | None) -> tuple[float | None, str | None, float | None]:
+    """A cell's number, and the dimension and size of the unit written after it; all None if it doesn't begin with a number."""
+    m = _PY_CELL.fullmatch((cell or "").strip(WHITE_SPACE))
+    if not m:
+        return None, None, None
+    number, own = read_number(m.group(1).strip()), (m.group(2) or "").strip(WHITE_SPACE)
+    return (number, *(read_unit(own) if own else (None, None)))

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tessera.functions import quantity as Q
 from tessera.functions.keys import key_or_null
@@ -57,11 +58,23 @@ def parse(sheets: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Adds, for each field f, f__num (double), f__dim, f__size (of the unit written in the cell, null if none); and
     unit__dim, unit__size of the unit column; _branch and _item, the keys, null for stand-ins.
     """
-    own = {f"{f}__own": F.when(F.length(Q.unit_text(f)) > 0, Q.unit_of(Q.unit_text(f))) for f in fields}
-    out = sheets.withColumns({f"{f}__num": Q.to_number(Q.number_text(f)) for f in fields} | own | {"unit__own": Q.unit_of("unit")})
-    split = {f"{f}__{x}": F.col(f"{f}__own")[x] for f in (*fields, "unit") for x in ("dim", "size")}
-    out = out.withColumns(split | {"_branch": key_or_null("restaurant_id"), "_item": key_or_null("item_id")})
-    return out.drop(*[f"{f}__own" for f in (*fields, "unit")])
+    base = sheets.withColumns({"_branch": key_or_null("restaurant_id"), "_item": key_or_null("item_id")})
+    kinds = {"num": DoubleType(), "dim": StringType(), "size": DoubleType()}
+    names = [f"{f}__{x}" for f in fields for x in kinds] + ["unit__dim", "unit__size"]
+    schema = StructType([*base.schema.fields, *[StructField(n, kinds[n.rsplit("__", 1)[1]]) for n in names]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, labels = lru_cache(200_000)(Q.read_cell), lru_cache(10_000)(Q.read_unit)
+        for b in batches:
+            for f in fields:
+                b[[f"{f}__num", f"{f}__dim", f"{f}__size"]] = pd.DataFrame([cells(x) for x in b[f]], index=b.index, columns=["num", "dim", "size"], dtype=object)
+            b[["unit__dim", "unit__size"]] = pd.DataFrame([labels(x) for x in b["unit"]], index=b.index, columns=["dim", "size"], dtype=object)
+            for n in names:
+                if not n.endswith("dim"):
+                    b[n] = pd.to_numeric(b[n])
+            yield b
+
+    return base.mapInPandas(run, schema)
 
 
 def usable(c: Column, model: UnitModel = UnitModel()) -> Column:

@@ -40,6 +40,20 @@ def test_numbers(spark, raw, want):
     assert one(spark, quantity.to_number(quantity.number_text("x")), raw) == want
 
 
+CELLS = [*"12| 9.1 |8,3|44,300|0,333|1.234,5|1,234.5|-99|7.10|N/A|#REF!|--||9800millilitres|3 doz.|1'200 g|5 (US)|9,9 gal (US)|33.5 pair|x 5|5 x|1.2.3|1,2,3|+4|.5|5.|1e6|NaN".split("|"), None, "\u00a012\u00a0kg ", "1\u202f200 ml"]
+LABELS = ["kg.", "Gram", "25 kg sack", "bag (10 kg)", "750ml btl", "btl (0.75 L)", "US gal", "tray of 24", "24-pc tray", "dz", "-", "", None, "gallop", "tray", " KG ", "Sack 2,5 Kg", "case 12"]
+
+
+def test_python_reads_as_spark_does(spark):
+    df = spark.createDataFrame([(c,) for c in CELLS], "x string")
+    own = quantity.unit_text("x")
+    rows = df.select("x", quantity.to_number(quantity.number_text("x")).alias("n"), F.when(F.length(own) > 0, quantity.unit_of(own)).alias("u")).collect()
+    for r in rows:
+        assert quantity.read_cell(r.x) == (r.n, r.u and r.u.dim, r.u and r.u["size"]), r.x
+    for r in spark.createDataFrame([(c,) for c in LABELS], "x string").select("x", quantity.unit_of("x").alias("u")).collect():
+        assert quantity.read_unit(r.x) == ((r.u.dim, pytest.approx(r.u["size"])) if r.u else (None, None)), r.x
+
+
 @given(st.decimals(min_value=0, max_value=999_999, places=2))
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_numbers_survive_any_notation(spark, d):
