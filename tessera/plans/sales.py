@@ -171,7 +171,7 @@ def _with_end(df: DataFrame, per: DataFrame, column: str = "last_day") -> DataFr
 
 
 @book.add(
-    """select customer_id, datediff('day', last_day, d)::bigint recency, n frequency, t / 10000.0 monetary, round(t / 10000.0 / n, 6) average_order_value, pref channel_preference
+    """select customer_id, datediff('day', last_day, d)::bigint recency, n frequency, t / 10000.0 monetary, t / 10000.0 / n average_order_value, pref channel_preference
     from per_customer cross join end_ join (select customer_id, channel pref from (select customer_id, channel, row_number() over (partition by customer_id order by c desc, channel) k from (select customer_id, channel, count(*) c from per_order group by all)) where k = 1) using (customer_id)""",
     _CUST,
 )
@@ -180,7 +180,7 @@ def customer_features(spark: SparkSession, folder: str) -> DataFrame:
     orders, per = _per_customer(spark, folder)
     pref = R.top_n(orders.groupBy("customer_id", "channel").agg(F.count("*").alias("c")), ["customer_id"], [F.desc("c"), F.asc("channel")], 1)
     return _with_end(per, per).join(pref, "customer_id").select(
-        "customer_id", F.datediff("end_day", "last_day").cast("bigint").alias("recency"), F.col("n").alias("frequency"), money(F.col("t")).alias("monetary"), r(money(F.col("t")) / F.col("n")).alias("average_order_value"),
+        "customer_id", F.datediff("end_day", "last_day").cast("bigint").alias("recency"), F.col("n").alias("frequency"), money(F.col("t")).alias("monetary"), (money(F.col("t")) / F.col("n")).alias("average_order_value"),
         F.col("channel").alias("channel_preference"),
     )
 
@@ -301,9 +301,9 @@ def customer_windows(spark: SparkSession, folder: str) -> DataFrame:
     return agg.withColumn("trend_pct", r(pct_change("recent_orders", "prior_orders")))
 
 
-@book.add("select extract(hour from ts)::bigint order_hour, count(*) event_count, count(distinct user_id) users, round(avg(value), 4) mean_value from events group by 1")
+@book.add("select extract(hour from ts)::bigint order_hour, count(*) event_count, count(distinct user_id) users, sum(round(value * 100)::bigint)::bigint / 100.0 / count(*) mean_value from events group by 1")
 def hourly_activity(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy(F.hour("ts").cast("bigint").alias("order_hour")).agg(F.count("*").alias("event_count"), F.count_distinct("user_id").alias("users"), r(F.avg("value"), 4).alias("mean_value"))
+    return table(spark, folder, "events").groupBy(F.hour("ts").cast("bigint").alias("order_hour")).agg(F.count("*").alias("event_count"), F.count_distinct("user_id").alias("users"), (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0 / F.count("*")).alias("mean_value"))
 
 
 @book.add("select (dayofweek(day) + 1)::bigint day_number, dayname(day) day_name, count(*) order_count, sum(value2)::bigint / 100.0 revenue from done group by all")
@@ -345,14 +345,14 @@ def peak_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @book.add(
-    """select location, count(*) order_count, sum(t)::bigint / 10000.0 revenue, sum(p)::bigint / 10000.0 margin, round(sum(t) / 10000.0 / count(*), 6) average_order_value, count(distinct customer_id) customers,
+    """select location, count(*) order_count, sum(t)::bigint / 10000.0 revenue, sum(p)::bigint / 10000.0 margin, sum(t)::bigint / 10000.0 / count(*) average_order_value, count(distinct customer_id) customers,
       round(avg((disc > 0)::int) * 100, 6) discounted_share from (select location, order_id, any_value(customer_id) customer_id, sum(total4) t, sum(profit4) p, count(*) filter (discount2 >= 8) disc from sales group by all) group by 1"""
 )
 def location_comparison(spark: SparkSession, folder: str) -> DataFrame:
     per = star.sales(spark, folder).groupBy("location", "customer_id", "order_id").agg(F.sum("total4").alias("t"), F.sum("profit4").alias("p"), F.max((F.col("discount2") >= 8).cast("int")).alias("disc"))
     cust = per.groupBy("location", "customer_id").agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("disc").alias("disc"))
     out = cust.groupBy("location").agg(F.sum("n").alias("order_count"), F.sum("t").alias("t"), F.sum("p").alias("p"), F.count("*").alias("customers"), F.sum("disc").alias("d"))
-    return out.select("location", "order_count", money(F.col("t")).alias("revenue"), money(F.col("p")).alias("margin"), r(money(F.col("t")) / F.col("order_count")).alias("average_order_value"), "customers", r(ratio("d", "order_count", 100)).alias("discounted_share"))
+    return out.select("location", "order_count", money(F.col("t")).alias("revenue"), money(F.col("p")).alias("margin"), (money(F.col("t")) / F.col("order_count")).alias("average_order_value"), "customers", r(ratio("d", "order_count", 100)).alias("discounted_share"))
 
 
 @book.add(

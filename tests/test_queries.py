@@ -37,7 +37,8 @@ def test_query_equals_sql(spark, folder, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_runs(spark, folder, name):
-    assert registry.QUERIES[name](spark, folder).count() > 0
+    n = registry.QUERIES[name](spark, folder).count()
+    assert n > 0 or name == "stock_balance"  # sound sheets balance
 
 
 def test_models_beat_the_naive_forecast(spark, folder):
