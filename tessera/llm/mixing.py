@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import strip
 from tessera.llm.tokens import VOCABULARY, Counter_
-from tessera.session import cut
+from tessera.session import cut, spread
 
 # Frequent words that tell a language, and words in a court's name that tell what it deals with.
 STOP_WORDS = {"en": (" the ", " of ", " was "), "de": (" der ", " die ", " und "), "fr": (" le ", " la ", " est ")}
@@ -77,7 +77,7 @@ def profiles(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     rows = documents.where("doc_id is not null and text is not null and text <> ''").select(
         "doc_id", source_key("source").alias("source"), "lang", topic("court").alias("topic"), "text", F.md5("text").alias("digest")
     )
-    out = rows.mapInPandas(run, "doc_id bigint, digest string, source string, topic string, lang string, n_tokens bigint")
+    out = spread(rows).mapInPandas(run, "doc_id bigint, digest string, source string, topic string, lang string, n_tokens bigint")
     return out.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "lang", "topic", "n_tokens")).alias("v")).select("v.*").where("n_tokens > 0")
 
 

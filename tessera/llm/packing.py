@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import VOCABULARY, Counter_
-from tessera.session import cut
+from tessera.session import cut, spread
 
 #: Words of a shingle; bands and rows of the MinHash signature. Texts of similarity 0.8 share a band with probability 0.998.
 SHINGLE, BANDS, ROWS = 5, 16, 5
@@ -70,7 +70,7 @@ def profiles(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [count(x) for x in b["text"]], "tags": [sign(x) for x in b["text"]]})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint, tags array<bigint>")
+    return spread(documents.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, n_tokens bigint, tags array<bigint>")
 
 
 class Packer:
