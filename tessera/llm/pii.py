@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import spread
+from tessera.session import cut, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 
@@ -130,7 +130,7 @@ class Lexicon:
         self._kinds: dict[str, str] = {}
 
     def kind(self, word: str) -> str:
-        """T title, G given name, S surname, I initial, D German street, C court or town cue, "" none. Cached by word."""
+        """T title, G given name, S surname, N maybe a surname, I initial, D German street, C court or town cue, "" none. Cached by word."""
         k = self._kinds.get(word)
         if k is None:
             if len(self._kinds) > 400_000:  # words of a stream never end
@@ -159,50 +159,144 @@ class Lexicon:
             return "S"
         if len(low) > 4 and low not in self.common and "-" not in low[1:-4] and max((self.endings.get(low[-n:], -9.0) for n in (3, 4, 5, 6)), default=-9.0) > 1.0:
             return "S"
-        return ""
+        # any other word is a surname only where a title or given name stands before it
+        return "N" if len(low) > 3 and low not in self.common and base not in self.towns and not any(c in low for c in COURT_WORDS) and not any(low.endswith(x) for x in STREETS_DE) else ""
 
 
 _CACHES = ("_kinds",)
 
 
-def build_lexicon(texts: list[str], given_names: list[str], least: int = 3) -> Lexicon:
-    """Counts names in strong contexts: after a title, and after a listed given name (with or without an initial)."""
+_STRONG_TITLES = {"Mr", "Mrs", "Ms", "Dr", "Prof", "Sir", "Herr", "Herrn", "Frau", "Mme", "Madame", "Monsieur"}
+_POSSESSIVE = re.compile(r"['’][sS]$")
+_TWO_WORDS = re.compile(rf"(?<![\w'’])([A-ZÀ-ÖØ-ÞŒ][\w'’]+(?:-[A-ZÀ-Þ][\w]+)?)(\.?) (?:[A-ZÀ-Þ]\. ?)*(?:de |von )?(?=({_CAP.pattern})( (?!{_CAP.pattern})|[,.;:)’'\n])?)")
+_VERSUS = re.compile(r" (?:v\.?|gegen|c/) (?=[A-ZÀ-Þ])")
+_FIRM_FORM = re.compile(r" (?:(?i:ltd|plc|llp|inc|gmbh|ag|kg|ohg|sarl|sas?|holdings)\b|e\.K\.|et Cie)")
+_STREET_END = re.compile(rf"(?:{STREETS_EN})\.?,")
+_LOWER = re.compile(r"\b[a-zà-þ][\wà-þ]{2,}")
+#: Distinct tokens and pairs that a task holds before it hands its counts on.
+HELD_COUNTS = 500_000
+
+
+def _bare(word: str) -> str:
+    return _POSSESSIVE.sub("", word)
+
+
+class _Tally:
+    """Counts of one task's texts: (tag, word, next word) -> occurrences. Words are taken apart once per distinct token, not per text."""
+
+    def __init__(self, given_names: list[str]) -> None:
+        self.listed, self.low = set(given_names), {g.lower() for g in given_names}
+        self.tokens, self.pairs, self.rest = Counter(), Counter(), Counter()
+
+    def add(self, t: str) -> None:
+        self.tokens.update(t.split())
+        self.pairs.update(_TWO_WORDS.findall(t))
+        for m in _KNOWN_TOWN.finditer(t):
+            self.rest.update(("town", w, "") for w in m.groups() if w)
+        for m in _VERSUS.finditer(t):
+            a, b = self._ending(t, m.start()), _CAP.match(t, m.end())
+            if a and b:
+                self.rest.update([("side", a, ""), ("side", _bare(b.group()).lower(), "")])
+        for m in _FIRM_FORM.finditer(t):
+            a = self._ending(t, m.start())
+            if a:
+                self.rest["firm", a, ""] += 1
+
+    @staticmethod
+    def _ending(t: str, at: int) -> str:
+        """The capitalised word that ends at a place, in lower case."""
+        token = t[max(t.rfind(" ", 0, at), t.rfind("\n", 0, at)) + 1 : at]
+        return next((_bare(m.group()).lower() for m in _CAP.finditer(token) if m.end() == len(token)), "")
+
+    def full(self) -> bool:
+        return len(self.tokens) + len(self.pairs) + len(self.rest) > HELD_COUNTS
+
+    def rows(self) -> list[tuple[str, str, str, int]]:
+        """The counts so far; counting starts anew."""
+        out = self.rest
+        for token, n in self.tokens.items():
+            for m in _CAP.finditer(token):
+                out["caps", _bare(m.group()).lower(), ""] += n
+            if "@" not in token and "." not in token.strip(".,;:()[]"):
+                for w in _LOWER.findall(token):
+                    out["lower", w, ""] += n
+            m = _STREET_END.match(token)
+            if m:
+                out["street", m.group(), ""] += n
+        for (first, dot, second, open_end), n in self.pairs.items():
+            second, strong = _bare(second), first in _STRONG_TITLES
+            if dot and not strong:
+                continue
+            low = second.lower()
+            out["pair", first.lower(), low] += n
+            if (strong or first in self.listed) and open_end and len(second) > 3 and not second.isupper() and low not in self.low and low not in FIRM_WORDS:
+                out["titled", low, ""] += n
+        self.tokens, self.pairs, self.rest = Counter(), Counter(), Counter()
+        return [(*k, n) for k, n in out.items()]
+
+
+def build_lexicon(documents: DataFrame, given_names: list[str], least: int = 3) -> Lexicon:
+    """Counts names in strong contexts over all documents: after a title, and after a listed given name (with or without an initial).
+
+    Words are counted by Spark; the driver and the model hold what names need only: surnames, learnt given names, towns, endings, and of
+    the common words those that have a surname's ending or stand after a title or given name. What speaks against a name is measured
+    by shares of a word's occurrences, so that the number of documents decides nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = _Tally(given_names)
+        for batch in batches:
+            for text in batch["text"]:
+                tally.add(collapse(text))
+                if tally.full():
+                    yield pd.DataFrame(tally.rows(), columns=["tag", "word", "next", "n"])
+        yield pd.DataFrame(tally.rows(), columns=["tag", "word", "next", "n"])
+
+    spark = documents.sparkSession
+    counted = spread(documents.where("doc_id is not null and text is not null").select("text")).mapInPandas(run, "tag string, word string, next string, n bigint")
+    counted = cut(counted.groupBy("tag", "word", "next").agg(F.sum("n").alias("n")), "lexicon")
     lex = Lexicon(given={g.lower() for g in given_names})
-    ends = Counter(m.group() for t in texts for m in re.finditer(rf"(?<= )(?:{STREETS_EN})\.?,", t))
-    lex.dotted = {w[:-2] for w in ends if w.endswith(".,") and ends[w] > ends[w[:-2] + ","]}
-    titled, followed, lower, caps = Counter(), Counter(), Counter(), Counter()
-    given = "|".join(sorted(map(re.escape, given_names), key=lambda g: -len(g))) or "(?!)"
-    strong = re.compile(rf"\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Sir|Herrn?|Frau|Mme|Madame|Monsieur)\.? |(?:{given}) )(?:[A-ZÀ-Þ]\. ?)*(?:de |von )?({_CAP.pattern})(?= (?!{_CAP.pattern})|[,.;:)’'\n])")
-    for t in texts:
-        for m in strong.finditer(t):
-            w = re.sub(r"['’][sS]$", "", m.group(1))
-            if len(w) > 3 and not w.isupper() and w.lower() not in lex.given and w.lower() not in FIRM_WORDS:
-                titled[w.lower()] += 1
-        lower.update(re.findall(r"\b[a-zà-þ][\wà-þ]{2,}", _ADDRESSLIKE.sub(" ", t)))
-        caps.update(m.group().lower() for m in _CAP.finditer(t))
-    lex.common = {w for w, n in lower.items() if n >= 2}
-    towns = Counter(w for t in texts for m in _KNOWN_TOWN.finditer(t) for w in m.groups() if w)
-    lex.towns = {w for w, n in towns.items() if n >= least}
-    lex.surnames = {w for w, n in titled.items() if n >= least and w not in lex.common and w not in MONTHS}
-    sides = Counter(w.lower() for t in texts for m in re.finditer(rf"({_CAP.pattern}) (?:v\.?|gegen|c/) (?=({_CAP.pattern}))", t) for w in m.groups())
-    # a capitalised word that never has a title nor a side in a case is no name, whatever its ending
-    firms = Counter(m.group(1).lower() for t in texts for m in re.finditer(rf"({_CAP.pattern}) (?:(?i:ltd|plc|llp|inc|gmbh|ag|kg|ohg|sarl|sas?|holdings)\b|e\.K\.|et Cie)", t))
-    lex.common |= {w for w, n in caps.items() if n >= 5 and not titled[w] and (not sides[w] or firms[w] >= 3)}
-    for t in texts:  # given names that the list lacks: words that mostly stand before a surname
-        for m in re.finditer(r"\b([A-ZÀ-Þ][\wà-þ]+(?:-[A-ZÀ-Þ][\wà-þ]+)?) (?:[A-ZÀ-Þ]\. ?)*(?:de )?(" + _CAP.pattern + ")", t):
-            if re.sub(r"['’][sS]$", "", m.group(2)).lower() in lex.surnames:
-                followed[m.group(1).lower()] += 1
-    lex.given |= {w for w, n in followed.items() if n >= least and n >= 0.35 * caps[w] and w not in TITLES and lower[w] < 2 and not any(c in w for c in COURT_WORDS) and w not in lex.surnames}
-    sur, other = Counter(), Counter()
-    for w in caps:
-        unsure = w in lex.given or caps[w] < 2 or (sides[w] and firms[w] < 3)  # sides of cases are mostly names
-        target = sur if w in lex.surnames else None if unsure else other
-        if target is not None and len(w) > 4:
-            target.update(w[-n:] for n in (3, 4, 5, 6) if len(w) > n + 1)
-    lex.endings = {e: math.log((n + 0.1) / (other[e] + 0.5)) for e, n in sur.items() if n >= 4}
+    ends = {r.word: r.n for r in counted.where("tag = 'street'").collect()}
+    lex.dotted = {w[:-2] for w, n in ends.items() if w.endswith(".,") and n > ends.get(w[:-2] + ",", 0)}
+    lex.towns = {r.word for r in counted.where((F.col("tag") == "town") & (F.col("n") >= least)).select("word").collect()}
+
+    tags = ("titled", "lower", "caps", "side", "firm")
+    sums = [F.sum(F.when(F.col("tag") == x, F.col("n")).otherwise(0)).alias(x) for x in tags]
+    fixed = lambda words: F.col("word").isin(sorted(words)) if words else F.lit(False)
+    # seen in lower case, more than names that are written so by mistake or in an address
+    seen_low = (F.col("lower") >= 2) & (F.col("lower") >= LOWER_SHARE * F.col("caps")) & (F.col("lower") > F.col("titled"))
+    # a capitalised word that (as good as) never has a title nor a side in a case is no name, whatever its ending
+    no_name = (F.col("caps") >= 5) & (F.col("titled") <= NAME_SHARE * F.col("caps")) & ((F.col("side") <= NAME_SHARE * F.col("caps")) | (F.col("firm") >= F.greatest(F.lit(3), F.col("side") * 0.1)))
+    words = counted.where(F.col("tag").isin(*tags)).groupBy("word").agg(*sums).withColumn("surname", (F.col("titled") >= least) & (F.col("titled") > NAME_SHARE * F.col("caps")) & ~seen_low & ~fixed(MONTHS))
+    words = cut(words.withColumn("common", seen_low | no_name), "words")
+
+    # given names that the list lacks: words that mostly stand before a surname, also where a title stands before them
+    pairs = counted.where("tag = 'pair'").select("word", "next", "n")
+    followed = pairs.join(words.where("surname").select(F.col("word").alias("next")), "next").groupBy("word").agg(F.sum("n").alias("followed"))
+    known = followed.where(F.col("followed") >= least).join(words, "word").where((F.col("followed") >= 0.35 * F.col("caps")) & (F.col("followed") > F.col("titled")) & ~seen_low & ~fixed(TITLES))
+    lex.given |= {r.word for r in known.select("word").collect() if not any(c in r.word for c in COURT_WORDS)}
+    lex.surnames = {r.word for r in words.where("surname").select("word").collect()} - lex.given
+
+    given = spark.createDataFrame([(w,) for w in sorted(lex.given)], "word string")
+    unsure = F.col("caps").between(0, 1) | ((F.col("side") > NAME_SHARE * F.col("caps")) & (F.col("firm") < F.greatest(F.lit(3), F.col("side") * 0.1)))  # sides of cases are mostly names
+    judged = words.where(F.col("surname") | ((F.col("caps") > 0) & ~unsure)).join(given, "word", "left_anti").where(F.length("word") > 4)
+    ending = lambda low: F.array(*[F.when(F.length("word") > n + low, F.substring("word", -n, n)) for n in (3, 4, 5, 6)])
+    split = judged.select(F.col("surname").cast("int").alias("s"), F.explode(ending(1)).alias("e")).where("e is not null").groupBy("e").agg(F.sum("s").alias("n"), F.sum(1 - F.col("s")).alias("other"))
+    lex.endings = {r.e: math.log((r.n + 0.1) / (r.other + 0.5)) for r in split.where("n >= 4").collect()}
+
+    high = spark.createDataFrame([(e,) for e, v in sorted(lex.endings.items()) if v > 1.0], "e string")
+    after = spark.createDataFrame([(w,) for w in sorted(lex.given | TITLES)], "word string")
+    common = words.where("common and not surname").select("word")
+    alike = common.select("word", F.explode(ending(-1)).alias("e")).join(high, "e", "left_semi").select("word")
+    reached = common.join(pairs.join(after, "word", "left_semi").select(F.col("next").alias("word")), "word", "left_semi")
+    lex.common = {r.word for r in alike.union(reached).distinct().collect()}
     return lex
 
 
+#: Shares of a word's capitalised occurrences: more lower-case ones make it a common word; fewer after titles or as sides make it no name.
+LOWER_SHARE, NAME_SHARE = 0.25, 0.002
+
+
 @dataclass(slots=True)
 class Span:
     """A candidate: characters [start, end) of the collapsed text, its kind, and its features."""
@@ -365,6 +459,10 @@ def _names(t: str, lex: Lexicon, add) -> None:
         if not k:
             continue
         s, e = m.span()
+        if k == "N":  # a surname that the lexicon lacks
+            if not run or run[-1][2] not in "TGIPp" or s - last > 10 or not _joined(t[last:s], run[-1][2]) or not any(x[2] in "TG" for x in run):
+                continue
+            k = "S"
         if k == "D":
             h = _HOUSE_DE.match(t, e)
             if h:
@@ -661,24 +759,24 @@ def seed_labels(t: str, spans: list[Span], lex: Lexicon) -> set[tuple[int, int,
 
 # ---------------------------------------------------------------- on Spark
 
-#: Documents that the lexicon is counted on, and of these, documents that the field is trained on. Both bound the sample.
-LEXICON_DOCUMENTS, TRAINING_DOCUMENTS = 3000, 900
+#: Documents that the field is trained on.
+TRAINING_DOCUMENTS = 900
 
 
-def fit(documents: DataFrame, given_names: DataFrame, lexicon_documents: int = LEXICON_DOCUMENTS, training_documents: int = TRAINING_DOCUMENTS) -> Model:
-    """Fits the field on a bounded sample of documents (those whose hashed id is least), whole texts.
+def fit(documents: DataFrame, given_names: DataFrame, training_documents: int = TRAINING_DOCUMENTS) -> Model:
+    """Fits the field: the lexicon on all documents, the weights on a bounded sample (those whose hashed id is least), whole texts.
 
     given_names: given_name, a short incomplete list. The sample's size doesn't grow with the corpus.
     """
     order = F.xxhash64("doc_id")
-    ids = [r.doc_id for r in documents.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(lexicon_documents).collect()]
+    ids = [r.doc_id for r in documents.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(training_documents).collect()]
     rows = documents.select("doc_id", "text").where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).collect() if ids else []
     place = {d: k for k, d in enumerate(ids)}
     texts = [collapse(r.text) for r in sorted(rows, key=lambda r: place[r.doc_id])]
     names = [r.given_name.strip() for r in given_names.select("given_name").where("given_name is not null").limit(100_000).collect() if r.given_name.strip()]
-    lex = build_lexicon(texts, names)
+    lex = build_lexicon(documents, names)
     samples = []
-    for t in texts[:training_documents]:
+    for t in texts:
         spans = candidates(t, lex)
         samples.append((spans, seed_labels(t, spans, lex)))
     return train(samples, lex)

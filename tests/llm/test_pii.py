@@ -92,3 +92,15 @@ def test_odd_texts(spark, model):
 def test_fit_without_rows(spark):
     empty = pii.fit(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "given_name string"))
     assert pii.find("Mr. Smith", empty) == []
+
+
+def test_lexicon_counts_all_documents(spark):
+    """A surname that stands only in documents outside the training sample is learnt, and an unknown one after a title or given name is found."""
+    filler = [(k, f"Mrs Tarrow wrote. Mrs Bellwick, of number {k}, agreed that the claim was late.") for k in range(3300)]
+    order = pii.F.xxhash64("doc_id")
+    last = [r.doc_id for r in spark.range(3300).select(pii.F.col("id").alias("doc_id")).orderBy(order.desc()).limit(4).collect()]
+    texts = [(k, "Mr Quosk, a driver, said so. The court heard that Quosk left." if k in last else t) for k, t in filler]
+    model = pii.fit(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([("Grace",)], "given_name string"), training_documents=200)
+    assert "quosk" in model.lexicon.surnames
+    spans = pii.candidates("The court heard Grace Zyxt and then Mr Wobbel. Later Zyxt left.", model.lexicon)
+    assert {(c.start, c.end) for c in spans if c.kind == "person_name"} >= {(16, 26), (39, 45)}
