@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -588,7 +589,7 @@ class Model:
     lexicon: Lexicon
     weights: dict[str, float] = field(default_factory=dict)
     near: int = 3
-    look_back: int = 12
+    look_back: int | None = None  # no longer read: decoding and training are exact at any distance
 
 
 def _groups(spans: list[Span], near: int) -> Iterator[list[Span]]:
@@ -609,8 +610,14 @@ def _pair(a: Span, b: Span, near: int) -> str | None:
     return f"pair:{a.kind}>{b.kind}" if 0 <= b.start - a.end <= near else None
 
 
+def _by_end(g: list[Span]) -> tuple[list[int], list[int]]:
+    """Candidates by where they end, and these ends. Whatever ends before a candidate starts also stands before it in the group."""
+    order = sorted(range(len(g)), key=lambda k: (g[k].end, k))
+    return order, [g[k].end for k in order]
+
+
 def decode(spans: list[Span], model: Model) -> list[Span]:
-    """The best choice of spans that don't overlap: Viterbi over segments."""
+    """The best choice of spans that don't overlap: Viterbi over segments, exact, with a running best of the paths that have ended."""
     w, near = model.weights.get, model.near
     chosen: list[Span] = []
     for g in _groups(spans, near):
@@ -620,14 +627,20 @@ def decode(spans: list[Span], model: Model) -> list[Span]:
                 chosen.append(g[0])
             continue
         best: list[tuple[float, int]] = []
+        order, ends = _by_end(g)
+        done, far = 0, (0.0, -1)  # the best path whose end is too far away for a pair, or none
         for i, c in enumerate(g):
-            top, at = 0.0, -1
-            for j in range(max(0, i - model.look_back), i):
-                if g[j].end <= c.start:
-                    p = _pair(g[j], c, near)
-                    v = best[j][0] + (w(p, 0.0) if p else 0.0)
-                    if v > top:
-                        top, at = v, j
+            while ends[done] < c.start - near:  # c's own end is never before its start
+                j = order[done]
+                if best[j][0] > far[0]:
+                    far = (best[j][0], j)
+                done += 1
+            top, at = far
+            for k in range(done, bisect_right(ends, c.start, done)):
+                j = order[k]
+                v = best[j][0] + w(_pair(g[j], c, near), 0.0)
+                if v > top:
+                    top, at = v, j
             best.append((top + scores[i], at))
         i = max(range(len(g)), key=lambda k: best[k][0])
         if best[i][0] > 0:
@@ -659,19 +672,24 @@ def train(samples: list[tuple[list[Span], set[tuple[int, int, str]]]], lexicon:
             g, marks = work[k]
             n = len(g)
             sc = [sum(weights[f] for f in c.features) for c in g]
-            allowed = [[j for j in range(max(0, i - model.look_back), i) if g[j].end <= g[i].start] for i in range(n)]
+            order, ends = _by_end(g)
+            starts = [c.start for c in g]
+            allowed = [[order[k] for k in range(bisect_left(ends, c.start - model.near), bisect_right(ends, c.start))] for c in g]
             pairs = [[_pair(g[j], g[i], model.near) for j in allowed[i]] for i in range(n)]
-            tr = [[weights[p] if p else 0.0 for p in ps] for ps in pairs]
-            fwd = [0.0] * n
+            tr = [[weights[p] for p in ps] for ps in pairs]
+            fwd, done, far = [0.0] * n, 0, 0.0  # far: sum over the paths that ended too far away for a pair, or none
             for i in range(n):
-                fwd[i] = sc[i] + _lse([0.0, *[fwd[j] + x for j, x in zip(allowed[i], tr[i])]])
-            bwd = [[0.0] for _ in range(n)]
+                while ends[done] < starts[i] - model.near:
+                    far = _lse([far, fwd[order[done]]])
+                    done += 1
+                fwd[i] = sc[i] + _lse([far, *[fwd[j] + x for j, x in zip(allowed[i], tr[i])]])
             total = _lse([0.0, *fwd])
-            beta = [0.0] * n
+            beta, rest, near_after = [0.0] * n, [0.0] * (n + 1), [[] for _ in range(n)]  # rest[k]: sum over the paths that start at k or later, or none
             for i in reversed(range(n)):
-                beta[i] = _lse(bwd[i])
+                beta[i] = _lse([rest[bisect_right(starts, g[i].end + model.near)], *near_after[i]])
+                rest[i] = _lse([rest[i + 1], sc[i] + beta[i]])
                 for j, x in zip(allowed[i], tr[i]):
-                    bwd[j].append(x + sc[i] + beta[i])
+                    near_after[j].append(x + sc[i] + beta[i])
             grad: dict[str, float] = defaultdict(float)
             for i in range(n):
                 d = (1.0 if marks[i] else 0.0) - math.exp(min(0.0, fwd[i] + beta[i] - total))
@@ -679,9 +697,8 @@ def train(samples: list[tuple[list[Span], set[tuple[int, int, str]]]], lexicon:
                     for f in g[i].features:
                         grad[f] += d
                 for j, p, x in zip(allowed[i], pairs[i], tr[i]):
-                    if p:
-                        together = marks[i] and marks[j] and not any(marks[q] for q in range(j + 1, i))
-                        grad[p] += (1.0 if together else 0.0) - math.exp(min(0.0, fwd[j] + x + sc[i] + beta[i] - total))
+                    together = marks[i] and marks[j] and not any(marks[q] for q in range(j + 1, i))
+                    grad[p] += (1.0 if together else 0.0) - math.exp(min(0.0, fwd[j] + x + sc[i] + beta[i] - total))
             for f, d in grad.items():
                 d -= l2 * weights[f]
                 squares[f] += d * d

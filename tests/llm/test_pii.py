@@ -104,3 +104,21 @@ def test_lexicon_counts_all_documents(spark):
     assert "quosk" in model.lexicon.surnames
     spans = pii.candidates("The court heard Grace Zyxt and then Mr Wobbel. Later Zyxt left.", model.lexicon)
     assert {(c.start, c.end) for c in spans if c.kind == "person_name"} >= {(16, 26), (39, 45)}
+
+
+def test_decoding_looks_back_without_limit():
+    """With the parameters of production: a value before a long run of losing readings is kept."""
+    spans = [pii.Span(0, 4, "phone", ["good"]), *[pii.Span(6, 30 + k, "person_name", ["bad"]) for k in range(20)], pii.Span(32, 36, "email", ["good"])]
+    model = pii.Model(pii.Lexicon(), {"good": 2.0, "bad": -1.0})
+    assert [(c.start, c.kind) for c in pii.decode(spans, model)] == [(0, "phone"), (32, "email")]
+    rng = random.Random(5)
+    for _ in range(40):
+        spans = sorted((pii.Span(a, a + rng.randint(1, 6), rng.choice(pii.KINDS), [f"f{rng.randint(0, 9)}"]) for a in [rng.randint(0, 14) for _ in range(30)]), key=lambda c: (c.start, c.end))
+        model = pii.Model(pii.Lexicon(), {f"f{k}": rng.uniform(-2, 2) for k in range(10)} | {f"pair:{a}>{b}": rng.uniform(-1, 1) for a in pii.KINDS for b in pii.KINDS})
+        weight = lambda c: sum(model.weights[f] for f in c.features)  # noqa: B023, E731
+        best = []
+        for i, c in enumerate(spans):
+            best.append(weight(c) + max([0.0, *[best[j] + model.weights.get(pii._pair(spans[j], c, model.near) or "", 0.0) for j in range(i) if spans[j].end <= c.start]]))
+        got = pii.decode(spans, model)
+        total = sum(map(weight, got)) + sum(model.weights.get(pii._pair(a, b, model.near) or "", 0.0) for a, b in itertools.pairwise(got))
+        assert total == pytest.approx(max(0.0, *best))
