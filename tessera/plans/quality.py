@@ -184,9 +184,9 @@ def scale_aggregate(spark: SparkSession, folder: str) -> DataFrame:
 
 @book.add()
 def demand_model_eval(spark: SparkSession, folder: str) -> DataFrame:
-    """A linear model and a tree on lagged demand, trained on the past, chosen on a later span, tested on the last; against lag 7.
+    """A linear model, a tree and a forest on lagged demand, trained on the past, chosen on a later span, tested on the last; against an independent model and lag 7.
 
-    Rows only: no SQL trains models. Columns: model, split, n, mae, rmse, mape, r2.
+    Rows only: no SQL trains models. Columns: model, split, n, mae, rmse, mape, r2, chosen.
     """
     from tessera.ml import demand
 
@@ -195,7 +195,7 @@ def demand_model_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 @book.add()
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions of the two models on the test span, joined by key and compared with a tolerance of a tenth."""
+    """Predictions of the chosen and the independent model on the test span, joined by key and compared with a tolerance of a tenth."""
     from tessera.ml import demand
 
     return demand.compare(temporal.panel(spark, folder))
