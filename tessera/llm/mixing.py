@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import strip
 from tessera.llm.tokens import VOCABULARY, Counter_
-from tessera.session import cut, spread
+from tessera.session import bounded, cut, spread
 
 # Frequent words that tell a language, and words in a court's name that tell what it deals with.
 STOP_WORDS = {"en": (" the ", " of ", " was "), "de": (" der ", " die ", " und "), "fr": (" le ", " la ", " est ")}
@@ -147,6 +147,10 @@ def _limits(edges: list[tuple[str, str, str, int, int, int, float]], bins: int)
     return out
 
 
+#: Listed sources that reach the driver at most.
+SOURCES = 10_000
+
+
 def selection(texts: DataFrame, targets: DataFrame, bins: int = 4096) -> DataFrame:
     """The selected texts: doc_id, source, lang, topic, n_tokens, copies (1 to the source's max_repeats).
 
@@ -154,7 +158,8 @@ def selection(texts: DataFrame, targets: DataFrame, bins: int = 4096) -> DataFra
     without a share or repeats, give nothing; shares of listed sources without texts are spread over the others in proportion.
     """
     texts = cut(texts.select("doc_id", "source", "lang", "topic", "n_tokens"), "texts")
-    want = targets.select(source_key("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").limit(10_000).collect()
+    want = targets.select(source_key("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0")
+    want = bounded(want, SOURCES, "source_targets")
     shares, repeats = {r.source: float(r.target_share) for r in want}, {r.source: int(r.max_repeats) for r in want}
     listed = texts.where(F.col("source").isin(list(shares)))
     cells = [Cell(r.source, r.lang, r.topic, int(r.tokens)) for r in listed.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).collect()]

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut, spread
+from tessera.session import bounded, cut, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 
@@ -778,6 +778,8 @@ def seed_labels(t: str, spans: list[Span], lex: Lexicon) -> set[tuple[int, int,
 
 #: Documents that the field is trained on.
 TRAINING_DOCUMENTS = 900
+#: Listed given names that reach the driver at most.
+GIVEN_NAMES = 100_000
 
 
 def fit(documents: DataFrame, given_names: DataFrame, training_documents: int = TRAINING_DOCUMENTS) -> Model:
@@ -790,7 +792,7 @@ def fit(documents: DataFrame, given_names: DataFrame, training_documents: int =
     rows = documents.select("doc_id", "text").where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).collect() if ids else []
     place = {d: k for k, d in enumerate(ids)}
     texts = [collapse(r.text) for r in sorted(rows, key=lambda r: place[r.doc_id])]
-    names = [r.given_name.strip() for r in given_names.select("given_name").where("given_name is not null").limit(100_000).collect() if r.given_name.strip()]
+    names = [r.given_name.strip() for r in bounded(given_names.select("given_name").where("given_name is not null"), GIVEN_NAMES, "given_names") if r.given_name.strip()]
     lex = build_lexicon(documents, names)
     samples = []
     for t in texts:

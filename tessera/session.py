@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def build_session(app: str = "tessera", cores: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -55,6 +55,14 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int, name: str) -> list[Row]:
+    """The rows of a small table; raises where there are more than `most`, so that none is lost without a word."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{name}: more than {most} rows")
+    return rows
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for work that costs far more than moving its rows.
 
