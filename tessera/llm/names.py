@@ -38,7 +38,7 @@ MONTHS = {
     *("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"),
     *("januar", "februar", "märz", "mai", "juni", "juli", "oktober", "dezember"),
 }
-STOP_WORDS = {"en": (" the ", " of ", " was ", " and "), "de": (" der ", " die ", " und ", " am "), "fr": (" le ", " la ", " du ", " des ", " a été ")}
+STOP_WORDS = {"en": (" the ", " of ", " was "), "de": (" der ", " die ", " und "), "fr": (" le ", " la ", " a été ")}
 
 #: Elements of a name at most: the bound of a segment in the semi-Markov field.
 MAX_PARTS = 8
@@ -46,12 +46,14 @@ MAX_PARTS = 8
 _CAPS = "A-ZÀ-ÖØ-ÞŒ"
 _LETTER = r"[^\W\d_]"
 _WORD = rf"[{_CAPS}](?:{_LETTER}|['’‑-](?={_LETTER}))*(?![\w█])"
-_SHORT = rf"(?:[{_CAPS}]|Mr|Mrs|Ms|Dr|Prof|St|Messrs|Hr|Hrn|Fr|Me|Mme|Mlle|MM)\.(?=[ ‑-]?[{_CAPS}]| (?:de|du|von|van|zu|d['’]))"
+_GOES_ON = rf"(?=[ ‑-]?[{_CAPS}]| (?:de|du|von|van|zu|d['’]))"
+_SHORT = rf"(?:[{_CAPS}]|Mr|Mrs|Ms|Dr|Prof|St|Messrs|Hr|Hrn|Fr|Me|Mme|Mlle|MM)\.{_GOES_ON}"
 _PART = r"de la|de|du|des|von der|von den|von|vom|van der|van den|van|zu|di|da|del|della|dos|bin|ben"
 #: Legal forms that are written small, or that go on with another word: they close a run.
 _FORM = r"(?:plc|llp|ltd|inc|co|sarl|sas|sa|e\.K|et Cie|et Fils|et Associés)(?!\w)|& [A-ZÀ-Þ]\w*"
 _ELEMENT = re.compile(rf"{_SHORT}|{_WORD}|(?<= )(?:{_FORM})")
-RUN = re.compile(rf"(?<![\w█‑-])(?:{_SHORT}|{_WORD})(?:(?: (?:(?:{_PART}) )?(?:d['’])?|, |[‑-]?)(?:{_SHORT}|{_WORD}))*(?: (?:{_FORM}))*")
+# the first word's capital comes first, so that the search leaps from capital to capital
+RUN = re.compile(rf"[{_CAPS}](?<![\w█‑-].)(?:(?:rs?|s|rof|t|essrs|rn?|me|e|lle|M)?\.{_GOES_ON}|(?:{_LETTER}|['’‑-](?={_LETTER}))*(?![\w█]))(?:(?: (?:(?:{_PART}) )?(?:d['’])?|, |[‑-]?)(?:{_SHORT}|{_WORD}))*(?: (?:{_FORM}))*")
 _POSSESSIVE = re.compile(r"['’][sS]$")
 _PARTICLE_GAP = re.compile(rf" (?:(?:{_PART}) (?:d['’])?|d['’])$")
 #: Last words of particles, in lower case.
@@ -142,7 +144,9 @@ _STREETS = set(STREETS_EN.split("|"))
 _STRONG_TITLES = {"Mr", "Mrs", "Ms", "Dr", "Prof", "Sir", "Herr", "Herrn", "Frau", "Mme", "Madame", "Monsieur"}
 KNOWN_CODE = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|[A-Z]{2} \d{5}|\d{5}(?![ ‑-]?\d))"
 CAPITALISED = r"[A-ZÀ-Þ][^\W\d_]*[a-zà-þ](?:['’\-][^\W\d_]+)*(?!\w)"
-_KNOWN_TOWN = re.compile(rf", ({CAPITALISED}(?: {CAPITALISED})?),? {KNOWN_CODE}\b|\b(?:D-|F-)?\d{{5}} ({CAPITALISED}(?:[ -](?:{CAPITALISED}|le-{CAPITALISED}))?)")
+_CODE = re.compile(r"\d(?<!\d\d)(?:\d{4}(?!\d)|[A-Z]{2}\b)")
+_TOWN_AFTER = re.compile(rf" ({CAPITALISED}(?:[ -](?:{CAPITALISED}|le-{CAPITALISED}))?)")
+_TOWN_BEFORE = re.compile(rf", ({CAPITALISED}(?: {CAPITALISED})?),? (?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]? |[A-Z]{{2}} )?$")
 _VERSUS = re.compile(r" (?:v\.?|gegen|c/) (?=[A-ZÀ-Þ])")
 _STREET_END = re.compile(rf"(?:{STREETS_EN})\.?,")
 _LOWER = re.compile(r"\b[a-zà-þ][\wà-þ]{2,}")
@@ -167,8 +171,12 @@ class _Tally:
     def add(self, t: str) -> None:
         self.tokens.update(t.split())
         self.runs.update(RUN.findall(t))
-        for m in _KNOWN_TOWN.finditer(t):
-            self.rest.update(("town", w, "") for w in m.groups() if w)
+        for c in _CODE.finditer(t):
+            five = c.end() - c.start() == 5
+            m = _TOWN_AFTER.match(t, c.end()) if five else None
+            m = m or _TOWN_BEFORE.search(t, max(0, c.start() - 64), c.start())
+            if m:
+                self.rest["town", m.group(1), ""] += 1
         for m in _VERSUS.finditer(t):
             a, b = self._ending(t, m.start()), _CAP.match(t, m.end())
             if a and b:
@@ -301,6 +309,8 @@ class Reading:
     streets: list[tuple[int, int]]
     led: list[Piece] = field(default_factory=list)
     top: float = -99.0
+    alone: bool = False
+    idle: bool = False
     lasts: set[str] = field(default_factory=set)
 
 
@@ -349,19 +359,19 @@ def read_run(run: str, lang: str, lex: Lexicon, unknown=None) -> Reading:
                 f.append("n:end=" + low[-4:])
             f += ["n:id=" + x[2] for x in el[i : j + 1] if x[3] in _TOLD and not x[4]]
             if i and el[i - 1][3] in _TOLD and not el[i - 1][4]:
-                f.append("n:<id=" + el[i - 1][2])
+                f.append("n:d<" + el[i - 1][2])
             if j + 1 < n:
                 q = el[j + 1]
-                f += [f"n:>in={q[3]}{gaps[j + 1]}{'s' if poss else ''}", f"n:>in={q[3]}{gaps[j + 1]}|{seq}"]
+                f += [f"n:i>{q[3]}{gaps[j + 1]}{'s' if poss else ''}", f"n:i>{q[3]}{gaps[j + 1]}|{seq}"]
                 if q[3] in _TOLD and not q[4]:
-                    f.append("n:>id=" + q[2])
+                    f.append("n:d>" + q[2])
                 if gaps[j + 1] != "," and not poss:
                     f += [x for x, ahead in (("n:firm", firm), ("n:law", law), ("n:street", street)) if ahead[j + 1]]
             for lead in ("", el[i][7].strip().lower()) if gaps[i] == "p" else ("",):
                 whole = ("p" if lead else "") + seq
                 more = ["n:seq=" + whole]
                 if i:
-                    x = f"n:<in={el[i - 1][3]}{'' if lead else gaps[i]}"
+                    x = f"n:i<{el[i - 1][3]}{'' if lead else gaps[i]}"
                     more += [x + ("s" if el[i - 1][8] else ""), f"{x}|{whole}"]
                 if lead:
                     more.append("n:lead=" + lead)
@@ -373,7 +383,7 @@ def read_run(run: str, lang: str, lex: Lexicon, unknown=None) -> Reading:
             j = i
             while j + 1 < n and gaps[j + 1] != "," and not el[j][8] and (j == i or el[j][3] in "TGIPuSE"):
                 j += 1
-            if j > i and len(el[j][2]) > 1 and el[j][3] in "SEuctGDR":
+            if j > i and len(el[j][2]) > 1 and el[j][3] in ("SEutGDR" if el[i][3] != "T" else "SEuctGDR"):
                 introduces.append((el[j][2], el[j][7] if gaps[j] == "p" else ""))
         if el[i][3] == "F":
             j = i - 1

@@ -39,16 +39,15 @@ ANNOUNCERS = (
     r"[Cc]arte d['’]identité|[Cc]arte de (?:séjour|résident)|[Tt]itre de séjour|[Pp]ermis de conduire|n° fiscal|numéro fiscal|sécurité sociale|NIR\b|NIF\b"
 )
 
-_AT = re.compile(r"@|[\[({] ?(?:at|AT|At|arobase|AROBASE|ät) ?[\])}]")
-#: What every form of _AT holds; searched for first, since plain search is fast.
-_AT_PARTS = ("@", "at]", "at)", "AT]", "AT)", "at }", "at ]", "at )", "at}", "arobase", "AROBASE", "ät]", "ät)")
+_AT = re.compile(r"[@\[({](?:(?<=@)| ?(?:at|AT|At|arobase|AROBASE|ät) ?[\])}])")
 _NOT_LOCAL = re.compile(r"[^\w.+\-%]")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:(?:\.| ?[\[({] ?(?:dot|DOT|Dot|point|POINT|punkt|PUNKT|Punkt) ?[\])}] ?)[A-Za-z0-9\-]+)+")
 _D = r"[ .\-‑–]"
 _SPELLED = re.compile(r"(?<![\w.+\-])[\w.+\-]+ (?:at|AT|arobase|ät) [\w\-]+(?: (?:dot|DOT|punkt|PUNKT|point) [\w\-]+)+")
-_SPELLED_DOTS = (" dot ", " DOT ", " punkt ", " PUNKT ", " point ")
-#: Where numbers are: at least six characters of digits, signs and capitals, from a digit on.
-_RUN = re.compile(r"[+(]?\d[\dA-Z()/ .\-‑]{4,}\w?")
+_SPELLED_DOT = re.compile(" (?:dot|DOT|punkt|PUNKT|point) ")
+_SEVEN = re.compile(r"(?:\D*\d){7}")
+#: Where numbers are: at least five digits, with at most four signs and capitals between two of them.
+_RUN = re.compile(r"(?:[+(]\d|\d(?<!\d\d))(?:[A-Z()/ .\-‑–]{0,4}\d){4,}\w?")
 _PHONE = re.compile(
     r"(?<![\w+/(\-‑.,])(?:"
     rf"\+\d{{1,3}} ?(?:\(0\) ?)?\(?\d{{1,4}}\)?(?:[ .\-‑/]?\d{{2,5}}){{1,5}}"
@@ -78,7 +77,7 @@ _CAPW = r"[A-ZÀ-Þ][\w.'’\-]*"
 _CAPT = names.CAPITALISED
 _UNIT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite) \w{1,5}"
 _STREET = re.compile(
-    r"\d{1,5}(?: (?:bis|ter|quater)|[A-Za-z])?,? (?:"
+    r"\d(?<![\w.,/‑-]\d)\d{0,4}(?: (?:bis|ter|quater)|[A-Za-z])?,? (?:"
     rf"(?:{_CAPW} ){{1,3}}(?:{names.STREETS_EN})\b\.?(?:, {_UNIT})?"
     rf"|(?:{STREETS_FR}) (?:(?:de la|de l['’]|du|des|de|d['’]|l['’]|la|le|les|en|sur|lez|aux|au|à) ?)*{_CAPW}(?:(?: (?:de la|de l['’]|du|des|de|d['’]))? ?{_CAPW})*"
     r")"
@@ -133,14 +132,12 @@ def _shape(s: str) -> str:
     return re.sub(r"(\D)\1+", r"\1", re.sub(r"\d+", lambda m: str(min(len(m.group()), 9)), re.sub(r"[A-Za-z]+", "a", s)))[:24]
 
 
-def _signs(t: str) -> list[int]:
-    """Places near which an at-sign of some form stands."""
-    places = []
-    for part in _AT_PARTS:
-        at = t.find(part)
-        while at >= 0:
-            places.append(at)
-            at = t.find(part, at + 1)
+def _finds(t: str, part: str) -> list[int]:
+    """Places of a part in a text."""
+    places, at = [], t.find(part)
+    while at >= 0:
+        places.append(at)
+        at = t.find(part, at + 1)
     return places
 
 
@@ -160,12 +157,7 @@ def _local_start(t: str, end: int) -> int:
 
 
 def _emails(t: str, add) -> None:
-    signs = {}
-    for at in _signs(t):
-        m = _AT.search(t, max(0, at - 3), at + 12)
-        if m:
-            signs[m.start()] = m
-    for m in signs.values():
+    for m in _AT.finditer(t):
         plain = m.group() == "@"
         spaced = t[m.start() - 1 : m.start()] == " " and (not plain or t.startswith(" ", m.end()))  # "name @ host" as well, but no lone @
         stop = m.start() - (1 if spaced else 0)
@@ -175,7 +167,7 @@ def _emails(t: str, add) -> None:
             start += 1
         if b and start < stop and t[start - 1 : start] != "█" and t[b.end() : b.end() + 1] not in ("█", "@"):
             add(Span(start, b.end(), "email", ["email", "email:at=" + m.group().lower(), "email:<" + _before(t, start)]))
-    if any(x in t for x in _SPELLED_DOTS):
+    if _SPELLED_DOT.search(t):
         for m in _SPELLED.finditer(t):
             add(Span(m.start(), m.end(), "email", ["email", "email:at=word", "email:<" + _before(t, m.start())]))
 
@@ -183,7 +175,7 @@ def _emails(t: str, add) -> None:
 def _numbers(t: str, add) -> None:
     for run in _RUN.finditer(t):
         s0, e0 = run.span()
-        if e0 - s0 >= 8 and not (e0 - s0 <= 12 and t[s0 + 2] in "/." and t[s0 + 5] == t[s0 + 2] and t[s0 + 6 : s0 + 10].isdigit()):  # no date
+        if e0 - s0 >= 8 and not (e0 - s0 <= 12 and t[s0 + 2] in "/." and t[s0 + 5] == t[s0 + 2] and t[s0 + 6 : s0 + 10].isdigit()) and (e0 - s0 > 24 or _SEVEN.match(t, s0, e0)):  # no date
             for m in _PHONE.finditer(t, s0, e0 + 16):
                 s, e = m.span()
                 if s >= e0:
@@ -207,8 +199,6 @@ def _numbers(t: str, add) -> None:
 def _streets(t: str, lex: Lexicon, add) -> None:
     for m in _STREET.finditer(t):
         s, e = m.span()
-        if s and (t[s - 1].isalnum() or t[s - 1] in ".,/-‑"):
-            continue
         if t[e - 1] == "." and t[e : e + 1] != "," and t[s:e].rsplit(" ", 1)[-1][:-1] not in lex.dotted:
             e -= 1  # the sentence's
         if _after(t, e) in names.FIRM_WORDS:
@@ -285,9 +275,9 @@ class Reader:
     document holds are left out: their score, with the most that a document or neighbours can add, isn't above 0.
     """
 
-    def __init__(self, lexicon: Lexicon, weights: dict[str, float] | None = None) -> None:
-        self.lexicon, self.weights = lexicon, weights
-        self.runs: dict[tuple[str, str], names.Reading] = {}
+    def __init__(self, lexicon: Lexicon, weights: dict[str, float] | None = None, near: int = 6) -> None:
+        self.lexicon, self.weights, self.near = lexicon, weights, near
+        self.runs: dict[str, dict[str, names.Reading]] = {lang: {} for lang in names.STOP_WORDS}
         self.lefts: dict[str, tuple[str, str, float]] = {}
         self.rights: dict[str, tuple[str, str, float]] = {}
         self.tables: dict[tuple[str, str], tuple] = {}
@@ -302,8 +292,6 @@ class Reader:
             if f[:4] in ("n:L=", "n:R=", "n:B="):
                 side, seq = f[4:].split("|", 1)
                 self.beside[f[2]][seq][side] = v
-            elif f.startswith(("n:<in", "n:>in", "n:<id", "n:>id")):
-                continue
             elif f.startswith(("n:<", "n:>")):
                 most[f[2]] = max(most[f[2]], v)
             elif f.startswith(("n:known", "n:firmed")):
@@ -327,9 +315,9 @@ class Reader:
         return x
 
     def _top(self, p: names.Piece) -> float:
-        """The most that a piece's score can come to in a document that doesn't name its last word elsewhere."""
+        """The most that a piece's score can come to where it has no neighbour and no opponent, and its document doesn't name its last word elsewhere."""
         _, _, _, a, b, c = p.tables
-        at = p.score + self.pairs + self.most["cited"]
+        at = p.score
         if p.first:
             at += self.most["<"] + a
         if p.final:
@@ -339,14 +327,15 @@ class Reader:
     def reading(self, lang: str, run: str, unknown=None) -> names.Reading:
         if unknown is not None:
             return names.read_run(run, lang, self.lexicon, unknown)
-        r = self.runs.get((lang, run))
+        r = self.runs[lang].get(run)
         if r is None:
             r = names.read_run(run, lang, self.lexicon)
             if self.weights is not None:
                 self._score(lang, r)
-            if len(self.runs) > 300_000:  # runs of a stream never end
-                self.runs.clear()
-            self.runs[lang, run] = r
+            r.idle = not (r.pieces or r.introduces or r.firms or r.streets)
+            if len(self.runs[lang]) > 150_000:  # runs of a stream never end
+                self.runs[lang].clear()
+            self.runs[lang][run] = r
         return r
 
     def _score(self, lang: str, r: names.Reading) -> None:
@@ -356,7 +345,7 @@ class Reader:
             p.score, p.tables = sum([get(f, 0.0) for f in p.features]), self._tables(lang, p.seq)
             top = self._top(p)
             r.top = max(r.top, top)
-            if top + self.most["known"] > 0:
+            if top + self.most["known"] + self.most["cited"] + self.pairs > 0:
                 kept.append(p)
             if p.first:  # the same with a particle before it
                 q = names.Piece(p.start, p.end, "p" + p.seq, p.last, p.parts, [], True, p.final)
@@ -364,6 +353,7 @@ class Reader:
                 r.led.append(q)
             p.features = []
         r.pieces, r.lasts = kept, {p.last for p in kept}
+        r.alone = not any("," in p.seq for p in kept) and len(kept) < 2  # pieces of one run may be neighbours
         for q in r.led:
             r.top = max(r.top, self._top(q) + self.most["lead"])
 
@@ -382,37 +372,55 @@ class Reader:
     def _right(self, t: str, at: int) -> tuple[str, str, float]:
         return self._side(self.rights, names.right_chunk(t, at), names.after, "n:>")
 
-    def spans(self, t: str, add, unknown=None) -> None:
-        """Adds the names' candidates of a collapsed text, and those of German addresses."""
+    def spans(self, t: str, out: list[Span], unknown=None) -> None:
+        """Adds the names' candidates of a collapsed text, and those of German addresses, to the other candidates."""
+        add = out.append
         lang = names.tongue(t)
-        found, known, firms = [], {}, set()
+        runs, known, firms = [], {}, set()
+        held = self.runs[lang].get if unknown is None else _nothing
         for m in names.RUN.finditer(t):
-            r = self.reading(lang, m.group(), unknown)
+            run = m.group()
+            r = held(run)
+            if r is None:
+                r = self.reading(lang, run, unknown)
+            if r.idle:
+                continue
             if r.introduces:
                 for w, particle in r.introduces:
                     known.setdefault(w, set()).add(particle.strip().lower())
             if r.firms:
                 firms.update(r.firms)
             if r.pieces:
-                found.append((m.start(), r))
-            for s, e in r.streets:
-                h = _HOUSE_DE.match(t, m.start() + e)
-                if h:
-                    _address(t, _STREET_LEAD_DE.search(t, max(0, m.start() + s - 12), m.start() + s).start(), h.end(), "de", self.lexicon, add)
-        for s0, r in found:
-            if self.weights is not None:
-                if r.top <= 0 and r.lasts.isdisjoint(known) and r.lasts.isdisjoint(firms):
-                    continue
-                self._scored(t, s0, r, known, firms, add)
-            else:
+                runs.append((*m.span(), r))
+            if r.streets:
+                for s, e in r.streets:
+                    h = _HOUSE_DE.match(t, m.start() + e)
+                    if h:
+                        _address(t, _STREET_LEAD_DE.search(t, max(0, m.start() + s - 12), m.start() + s).start(), h.end(), "de", self.lexicon, add)
+        if self.weights is None:
+            for s0, _, r in runs:
                 self._featured(t, s0, lang, r, known, firms, add)
-
-    def _scored(self, t: str, s0: int, r: names.Reading, known: dict, firms: set, add) -> None:
-        left, get, pairs, most = None, self.weights.get, self.pairs, self.most
+            return
+        # what isn't beside an opponent isn't cited, and what has no candidate near it has no pair
+        sides = {at for word in (" v. ", " v ", " gegen ", " c/ ", " re ", " affaire ") for p in _finds(t, word) for at in (p, p + len(word))}
+        reach, others = self.near, set()
+        for c in out:
+            others.update(range(c.start - reach, c.start + 1))
+            others.update(range(c.end, c.end + reach + 1))
+        heard, last, n = known.keys() | firms, -99, len(runs)
+        for k, (s, e, r) in enumerate(runs):
+            alone = s - last > reach and (k + 1 == n or runs[k + 1][0] - e > reach + 9) and s not in others and e not in others  # 9: a particle before the next
+            last = e
+            pairs, cited = 0.0 if alone and r.alone else self.pairs, self.most["cited"] if s in sides or e in sides else 0.0
+            if r.top + pairs + cited + (0.0 if r.lasts.isdisjoint(heard) else self.most["known"]) > 0:
+                self._scored(t, s, r, known, firms, pairs, cited, add)
+
+    def _scored(self, t: str, s0: int, r: names.Reading, known: dict, firms: set, pairs: float, cited: float, add) -> None:
+        left, get, most = None, self.weights.get, self.most
         for p in r.pieces:
             a, b, c, _, most_b, most_c = p.tables
             score = p.score
-            more = pairs + most["known"] if p.last in known or p.last in firms else pairs
+            more = pairs + cited + most["known"] if p.last in known or p.last in firms else pairs + cited
             le = ri = _NONE
             if p.first:
                 if left is None:
@@ -420,13 +428,13 @@ class Reader:
                 le = left
                 score += le[2] + a.get(le[0], 0.0)
             if p.final:
-                if score + more + most[">"] + most_b + most_c + most["cited"] <= 0:
+                if score + more + most[">"] + most_b + most_c <= 0:
                     continue
                 ri = self._right(t, s0 + p.end)
                 score += ri[2] + b.get(ri[0], 0.0)
                 if p.first:
                     score += c.get(le[0] + ri[0], 0.0)
-            if score + more + (most["cited"] if le[0] == "v" or ri[0] == "v" else 0.0) > 0:
+            if score + more > 0:
                 s, e = s0 + p.start, s0 + p.end
                 score += sum([get(f, 0.0) for f in _surroundings(t, s, e, le, ri, p.last, p.parts, p.lead, known, firms)])
                 if score + pairs > 0:
@@ -441,10 +449,10 @@ class Reader:
                     a, b, c, *_ = p.tables
                     ri = self._right(t, s0 + p.end) if p.final else _NONE
                     score = p.score + lead + le[2] + a.get(le[0], 0.0) + (ri[2] + b.get(ri[0], 0.0) + c.get(le[0] + ri[0], 0.0) if p.final else 0.0)
-                    if score + pairs + most["known"] + most["cited"] > 0:
+                    if score + self.pairs + most["known"] + most["cited"] > 0:
                         e = s0 + p.end
                         score += sum([get(f, 0.0) for f in _surroundings(t, at, e, le, ri, p.last, p.parts, particle, known, firms)])
-                        if score + pairs > 0:
+                        if score + self.pairs > 0:
                             add(Span(at, e, "person_name", (), score))
 
     def _featured(self, t: str, s0: int, lang: str, r: names.Reading, known: dict, firms: set, add) -> None:
@@ -462,6 +470,7 @@ class Reader:
 
 
 _NONE = ("", "", 0.0)
+_nothing = {}.get
 
 
 def candidates(t: str, reader: Reader, unknown=None) -> list[Span]:
@@ -470,7 +479,7 @@ def candidates(t: str, reader: Reader, unknown=None) -> list[Span]:
     _emails(t, out.append)
     _numbers(t, out.append)
     _streets(t, reader.lexicon, out.append)
-    reader.spans(t, out.append, unknown)
+    reader.spans(t, out, unknown)
     if "█" in t:
         out = [c for c in out if t[c.start - 1 : c.start] != "█" and t[c.end : c.end + 1] != "█"]
     out.sort(key=lambda c: (c.start, c.end))
@@ -491,7 +500,7 @@ class Model:
     def reader(self) -> Reader:
         r = self.__dict__.get("_reader")
         if r is None:
-            r = self.__dict__["_reader"] = Reader(self.lexicon, self.weights)
+            r = self.__dict__["_reader"] = Reader(self.lexicon, self.weights, self.near)
         return r
 
     def __getstate__(self) -> dict:
@@ -564,6 +573,10 @@ def _lse(xs: list[float]) -> float:
     return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
+#: The most that a single word beside a name, and a neighbour or an opponent, may speak for it. Small bounds let most runs be left out unseen.
+MOST_BESIDE, MOST_PAIR = 1.5, 1.0
+
+
 def train(samples: list[tuple[list[Span], set[tuple[int, int, str]]]], lexicon: Lexicon, epochs: int = 5, rate: float = 0.5, l2: float = 1e-4) -> Model:
     """Maximises the conditional likelihood of the labelled segmentations by AdaGrad. Groups that are alike are one, with their number as weight."""
     model = Model(lexicon)
@@ -591,7 +604,9 @@ def train(samples: list[tuple[list[Span], set[tuple[int, int, str]]]], lexicon:
             for f, d in grad.items():
                 d = d * times - l2 * weights[f]
                 squares[f] += d * d
-                weights[f] += rate * d / (1e-6 + math.sqrt(squares[f]))
+                v = weights[f] + rate * d / (1e-6 + math.sqrt(squares[f]))
+                bound = MOST_BESIDE if f[:3] in ("n:<", "n:>") else MOST_PAIR if f[:5] in ("pair:", "n:cit") else None
+                weights[f] = v if bound is None else min(v, bound)
     model.weights = {f: round(v, 4) for f, v in weights.items() if abs(v) > 1e-2}
     return model
 
@@ -683,18 +698,18 @@ def seed_labels(t: str, spans: list[Span], lex: Lexicon) -> set[tuple[int, int,
             continue
         f = set(c.features)
         seq = max((x[6:] for x in c.features if x.startswith("n:seq=")), key=len)
-        titled = any(x.startswith(("n:<in=T", "n:L=enT", "n:L=deT", "n:L=frT")) for x in f)
+        titled = any(x.startswith(("n:i<T", "n:L=enT", "n:L=deT", "n:L=frT")) for x in f)
         if not (_SEED_NAME.fullmatch(seq) or (titled and _SEED_TITLED.fullmatch(seq))):
             continue
-        if f & {"n:firm", "n:law", "n:cited=sure", "n:>in=F", "n:>&", "n:<99999"} or any(x.startswith("n:>in=F") for x in f):
+        if f & {"n:firm", "n:law", "n:cited=sure", "n:>&", "n:<99999"} or any(x.startswith("n:i>F") for x in f):
             continue
-        left = next((x[3:] for x in c.features if x.startswith(("n:<id=", "n:<")) and not x.startswith("n:<in")), "")
+        left = next((x.split("<", 1)[1] for x in c.features if x.startswith(("n:d<", "n:<"))), "")
         if any(w in left for w in names.COURT_WORDS):
             continue
         core = re.sub(r"['’][sS]$", "", t[c.start : c.end].split(",")[0].split()[-1]).lower()
         if (core in lex.towns or core.title() in lex.towns) and not (titled or set(seq) & set("GI")):
             continue
-        if "," in seq and any(x.startswith("n:>in=") and x[7:8] != "," for x in f):
+        if "," in seq and any(x.startswith("n:i>") and x[5:6] != "," for x in f):
             continue  # the given name belongs to the next name
         if seq.startswith("p") and any(x.startswith("n:known") and x.endswith("False") for x in f):
             continue  # a preposition: the document has the name without it
