@@ -7,6 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
+
+#: Values at most in the second set of a grid.
+GRID = 10_000
+
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, values: list[str], bucket: int) -> DataFrame:
     """Each left row with the values of the latest right row of its key whose `since` is at or before its `at`.
@@ -74,6 +80,46 @@ def percent_rank(df: DataFrame, value: str, name: str, keys: list[str] | None =
     return df.withColumn(name, F.when(F.col(value).isNotNull(), F.percent_rank().over(w)))
 
 
+def tiles(df: DataFrame, key: str, orders: dict[str, Column], n: int) -> DataFrame:
+    """Adds, per name of orders, which of n tiles of the whole table a row is in (1 to n), as ntile over its order and then the key.
+
+    orders: name -> a whole number to sort by, ascending, never null. key must be unique. Rows are sorted over all tasks by range; a
+    row's position is its place in its range plus the rows of the ranges before, so no task ever holds the table.
+    """
+    one = df.select(F.col(key).alias("_key"), F.explode(F.create_map(*[x for name, v in orders.items() for x in (F.lit(name), v.cast("bigint"))])).alias("_name", "_v"))
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(one.repartitionByRange(ranges, "_name", "_v", "_key").withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("_name", "_range").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("_name")  # a row per range
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(by.orderBy("_range")) - F.col("_n"), "_all": F.sum("_n").over(by)})
+    at = F.row_number().over(Window.partitionBy("_name", "_range").orderBy("_v", "_key")) - 1 + F.col("_before")
+    small, more = F.expr(f"_all div {n}"), F.col("_all") % n
+    tile = F.when(F.col("_at") < more * (small + 1), F.expr(f"_at div (_all div {n} + 1)")).otherwise(more + F.expr(f"(_at - (_all % {n}) * (_all div {n} + 1)) div greatest(_all div {n}, 1)")) + 1
+    found = placed.join(F.broadcast(sizes), ["_name", "_range"]).withColumn("_at", at).groupBy("_key").agg(*[F.max(F.when(F.col("_name") == name, tile)).cast("bigint").alias(name) for name in orders])
+    return df.join(found.withColumnRenamed("_key", key), key)
+
+
+def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, bucket: int) -> DataFrame:
+    """keys and percentile: the exact interpolated percentile of a whole-number column per group; nulls don't count.
+
+    A histogram of buckets finds in which two the ranks lie, and only these buckets' values are counted one by one. No task holds a
+    group's values: it holds a group's buckets, as many as the values' range has.
+    """
+    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("bigint").alias("_v"))
+    by = Window.partitionBy(*keys)
+    rank = (F.lit(p) * (F.col("_all") - 1)).cast("double")
+
+    def holds(rows: DataFrame, at: str) -> DataFrame:
+        upto = F.sum("_n").over(by.orderBy(at))
+        return rows.withColumns({"_upto": upto + F.col("_before") if "_before" in rows.columns else upto}).where((F.floor(rank) < F.col("_upto")) & (F.ceil(rank) >= F.col("_upto") - F.col("_n")))
+
+    slots = df.groupBy(*keys, F.expr(f"_v div {bucket}").alias("_slot")).agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(by))
+    slots = holds(slots, "_slot").withColumn("_before", F.min(F.col("_upto") - F.col("_n")).over(by)).select(*keys, "_slot", "_all", "_before")
+    near = df.withColumn("_slot", F.expr(f"_v div {bucket}")).join(slots, [*keys, "_slot"]).groupBy(*keys, "_v", "_all", "_before").agg(F.count("*").alias("_n"))
+    share = F.first("_rank") - F.floor(F.first("_rank"))
+    return holds(near, "_v").withColumn("_rank", rank).groupBy(*keys).agg((F.min("_v") + share * (F.max("_v") - F.min("_v"))).alias("percentile"))
+
+
 def unpivot(df: DataFrame, ids: list[str], values: list[str], variable: str = "metric", value: str = "value") -> DataFrame:
     """One row per row and column of values, as doubles."""
     return df.select(*ids, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(ids, values, variable, value)
@@ -86,8 +132,12 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
 
 
 def grid(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every combination of two small sets of values, for dense reports: the caller's sets are dimensions (days, hours, channels)."""
-    return a.crossJoin(F.broadcast(b))
+    """Every combination of two sets of values, for dense reports, without a nested loop: both are joined on a constant.
+
+    The second set, a dimension of at most `GRID` values, stands in one array; a larger one raises.
+    """
+    many = b.limit(GRID + 1).agg(F.collect_list(F.struct(*b.columns)).alias("_b")).select(F.when(F.size("_b") > GRID, F.raise_error(F.lit(f"grid: more than {GRID} values")).cast(f"array<struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in b.schema)}>>")).otherwise(F.col("_b")).alias("_b"))
+    return a.crossJoin(F.broadcast(many)).select(*a.columns, F.inline("_b"))  # one row
 
 
 def rules(lines: DataFrame, basket: str, item: str, least: int = 2) -> DataFrame:

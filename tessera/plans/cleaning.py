@@ -242,7 +242,7 @@ def campaign_repeat(spark: SparkSession, folder: str) -> DataFrame:
 )
 def campaign_only_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Customers and brands bought in a campaign, and those bought in no other time: counts per pair, then their difference."""
-    s = star.sales(spark, folder).select("customer_id", "brand", "day")
+    s = star.sales(spark, folder, "customer_id", "brand", "day")
     no = lambda x: F.datediff(x, F.lit("1970-01-01").cast("date"))
     c = spark.createDataFrame([(i, a, b) for i, a, b in temporal._CAMPAIGNS], "campaign_id int, starts string, ends string").withColumns({"lo": no(F.to_date("starts")), "hi": no(F.to_date("ends"))})
     inside = R.within_intervals(s.withColumn("at", no("day")), c.select("campaign_id", "lo", "hi"), [], "at", "lo", "hi", 90).groupBy("campaign_id", "customer_id", "brand").agg(F.count("*").alias("n_in"))
@@ -256,7 +256,7 @@ def campaign_only_pairs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def item_trend(spark: SparkSession, folder: str) -> DataFrame:
     """An item's units in the last year of the data against the year before."""
-    s = star.sales(spark, folder).select("item_id", "qty", "day")
+    s = star.sales(spark, folder, "item_id", "qty", "day")
     end = star.orders(spark, folder).agg(F.max("day").alias("end"))
     s = s.crossJoin(F.broadcast(end)).withColumn("age", F.datediff("end", "day"))
     a = s.groupBy("item_id").agg(F.sum(F.when(F.col("age") < 365, F.col("qty"))).alias("a"), F.sum(F.when((F.col("age") >= 365) & (F.col("age") < 730), F.col("qty"))).alias("b"))
@@ -304,7 +304,7 @@ def wastage_by_reason(spark: SparkSession, folder: str) -> DataFrame:
 def wastage_by_demand(spark: SparkSession, folder: str) -> DataFrame:
     """Wastage of items by how much of them is sold."""
     w = star.lines(spark, folder).where("flag = 'R'").groupBy("item_id", "unit").agg(F.sum(F.col("qty") * F.col("discount2")).alias("w"), F.sum("qty").alias("q"))
-    u = star.sales(spark, folder).groupBy("item_id").agg(F.sum("qty").alias("units"))
+    u = star.sales(spark, folder, "item_id", "qty").groupBy("item_id").agg(F.sum("qty").alias("units"))
     bucket = F.when(F.col("units").isNull(), "none").when(F.col("units") <= 100, "low").when(F.col("units") <= 250, "medium").otherwise("high")
     out = w.join(u, "item_id", "left").groupBy(bucket.alias("bucket"), "unit").agg(F.sum("w").alias("w"), F.sum("q").alias("preparation_quantity"), F.count("*").alias("items"))
     return out.select("bucket", "unit", (F.col("w") / 100.0).cast("double").alias("quantity_wasted"), "preparation_quantity", "items")
@@ -315,7 +315,7 @@ def wastage_by_demand(spark: SparkSession, folder: str) -> DataFrame:
       select customer_id, count(distinct order_id) n, sum(total4)::bigint t from sales group by 1)) unpivot (value for metric in (customers, repeating, mean_orders, most_orders, mean_money))"""
 )
 def kpi_customer(spark: SparkSession, folder: str) -> DataFrame:
-    per = star.sales(spark, folder).groupBy("customer_id", "order_id").agg(F.sum("total4").alias("t")).groupBy("customer_id").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    per = star.sales(spark, folder, "customer_id", "order_id", "total4").groupBy("customer_id", "order_id").agg(F.sum("total4").alias("t")).groupBy("customer_id").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
     one = per.agg(F.count("*").alias("customers"), F.count_if(F.col("n") >= 2).alias("repeating"), F.avg("n").alias("mean_orders"), F.max("n").alias("most_orders"), (F.sum("t") / 10000.0 / F.count("*")).alias("mean_money"))
     return R.unpivot(one, [], ["customers", "repeating", "mean_orders", "most_orders", "mean_money"]).withColumn("value", r(F.col("value")))
 

@@ -131,7 +131,7 @@ def json_props(spark: SparkSession, folder: str) -> DataFrame:
 )
 def dashboard_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Filters by dates, ranges, lists and free text over several columns; all but the text reach the scans."""
-    s = star.sales(spark, folder).where(F.col("day").between("1997-01-01", "1998-12-31") & F.col("qty").between(5, 20) & F.col("channel").isin("1-URGENT", "2-HIGH"))
+    s = star.sales(spark, folder, "order_id", "item_id", "brand", "location", "channel", "qty", "total4", "day").where(F.col("day").between("1997-01-01", "1998-12-31") & F.col("qty").between(5, 20) & F.col("channel").isin("1-URGENT", "2-HIGH"))
     text = F.lower("brand").contains("2") | F.lower("location").contains("an")
     return s.where(text).select("order_id", "item_id", "brand", "location", "channel", "qty", star.money(F.col("total4")).alias("total"))
 
@@ -168,7 +168,7 @@ def brand_pareto(spark: SparkSession, folder: str) -> DataFrame:
     """Items of a brand by units, with their share and the running share."""
     from pyspark.sql import Window
 
-    per = star.sales(spark, folder).groupBy("item_id", "brand").agg(F.sum("qty").alias("units"))
+    per = star.sales(spark, folder, "item_id", "brand", "qty").groupBy("item_id", "brand").agg(F.sum("qty").alias("units"))
     whole = F.sum("units").over(Window.partitionBy("brand"))
     run = F.sum("units").over(Window.partitionBy("brand").orderBy(F.desc("units"), "item_id").rowsBetween(Window.unboundedPreceding, 0))
     return per.select("item_id", "brand", "units", r(F.col("units") * 100.0 / whole).alias("share"), r(run / whole).alias("cume"))
@@ -225,11 +225,12 @@ def stock_balance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @book.add(
-    """select order_id, line_no, item_name, brand, location, region, channel, total4 / 10000.0 total from sales where channel = '1-URGENT'"""
+    """select order_id, line_no, item_name, brand, location, region, channel, total4 / 10000.0 total from lines left join orders_ using (order_id) left join items using (item_id) left join places using (customer_id)"""
 )
 def named_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines with the names of everything that they refer to: left joins on dimensions."""
-    s = star.sales(spark, folder).where("channel = '1-URGENT'")
+    """Every line with the names of what it refers to, null where the record isn't there; customers are joined to orders, not to lines."""
+    o = star.orders(spark, folder, None).join(star.places(spark, folder), "customer_id", "left")
+    s = star.lines(spark, folder).join(o, "order_id", "left").join(star.items(spark, folder), "item_id", "left")
     return s.select("order_id", "line_no", "item_name", "brand", "location", "region", "channel", star.money(F.col("total4")).alias("total"))
 
 
@@ -238,7 +239,7 @@ def named_lines(spark: SparkSession, folder: str) -> DataFrame:
       select item_id, sum(qty)::bigint units, sum(total4)::bigint t, sum(profit4)::bigint p, sum(gross4)::bigint g, sum(gross4 - total4)::bigint d from sales group by 1)) unpivot (value for metric in (items, losing, mean_margin, most_units, discount_share))"""
 )
 def kpi_menu(spark: SparkSession, folder: str) -> DataFrame:
-    per = star.sales(spark, folder).groupBy("item_id").agg(F.sum("qty").alias("units"), F.sum("total4").alias("t"), F.sum("profit4").alias("p"), F.sum("gross4").alias("g"))
+    per = star.sales(spark, folder, "item_id", "qty", "total4", "profit4", "gross4").groupBy("item_id").agg(F.sum("qty").alias("units"), F.sum("total4").alias("t"), F.sum("profit4").alias("p"), F.sum("gross4").alias("g"))
     one = per.agg(F.count("*").alias("items"), F.count_if(F.col("p") < 0).alias("losing"), F.avg(F.col("p") * 100.0 / F.nullif("t", F.lit(0))).alias("mean_margin"), F.max("units").alias("most_units"), ((F.sum("g") - F.sum("t")) * 100.0 / F.sum("g")).alias("discount_share"))
     return R.unpivot(one, [], ["items", "losing", "mean_margin", "most_units", "discount_share"]).withColumn("value", r(F.col("value")))
 

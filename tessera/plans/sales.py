@@ -30,14 +30,12 @@ def _all_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @book.add(f"select location, {_BY} from lines join orders_ using (order_id) join places using (customer_id) group by 1")
 def sql_location(spark: SparkSession, folder: str) -> DataFrame:
-    """Revenue, orders and units per nation, all statuses, by Spark SQL over temporary views."""
-    star.lines(spark, folder).createOrReplaceTempView("t_lines")
-    star.orders(spark, folder, None).createOrReplaceTempView("t_orders")
-    star.places(spark, folder).createOrReplaceTempView("t_places")
+    """Revenue, orders and units per nation, all statuses, by Spark SQL over frames that are named in the text."""
     return spark.sql(
         "select location, cast(sum(total4) / 10000d as double) revenue, count(distinct order_id) order_count, sum(qty) units_sold"
-        " from t_lines join t_orders using (order_id) join t_places using (customer_id) group by location"
-    )
+        " from {lines} join (select * from {orders} join {places} using (customer_id)) using (order_id) group by location",
+        lines=star.lines(spark, folder), orders=star.orders(spark, folder, None), places=star.places(spark, folder),
+    )
 
 
 @book.add(f"select channel, {_BY} from lines join orders_ using (order_id) group by 1")
@@ -62,7 +60,7 @@ per_item as (
 
 def _per_item(spark: SparkSession, folder: str) -> DataFrame:
     """One pass: lines added up per item and order, then per item; customers follow from orders (an order has one)."""
-    s = star.sales(spark, folder)
+    s = star.sales(spark, folder, "item_id", "customer_id", "order_id", "qty", "total4", "profit4", "gross4")
     per = s.groupBy("item_id", "customer_id", "order_id").agg(F.sum("qty").alias("q"), F.sum("total4").alias("t"), F.sum("profit4").alias("p"), F.sum("gross4").alias("g"))
     cust = per.groupBy("item_id", "customer_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "qtpg"])
     return cust.groupBy("item_id").agg(
@@ -95,7 +93,7 @@ def eda_item_rankings(spark: SparkSession, folder: str) -> DataFrame:
 
 @book.add("select category, sum(qty)::bigint units_sold, sum(total4)::bigint / 10000.0 revenue, round(sum(profit4) * 100.0 / nullif(sum(total4), 0), 6) margin_percentage from sales group by 1")
 def eda_categories(spark: SparkSession, folder: str) -> DataFrame:
-    s = star.sales(spark, folder).groupBy("category").agg(F.sum("qty").alias("units_sold"), F.sum("total4").alias("t"), F.sum("profit4").alias("p"))
+    s = star.sales(spark, folder, "category", "qty", "total4", "profit4").groupBy("category").agg(F.sum("qty").alias("units_sold"), F.sum("total4").alias("t"), F.sum("profit4").alias("p"))
     return s.select("category", "units_sold", money(F.col("t")).alias("revenue"), r(ratio("p", "t", 100)).alias("margin_percentage"))
 
 
@@ -106,24 +104,23 @@ def eda_categories(spark: SparkSession, folder: str) -> DataFrame:
 def eda_peak_periods(spark: SparkSession, folder: str) -> DataFrame:
     """Events per hour and per weekday, in one pass with grouping sets."""
     e = table(spark, folder, "events").select(F.hour("ts").cast("string").alias("h"), F.date_format("ts", "EEEE").alias("d"))
-    e.createOrReplaceTempView("t_events")
-    both = spark.sql("select h, d, grouping(h) g, count(*) event_count from t_events group by grouping sets ((h), (d))")
+    both = spark.sql("select h, d, grouping(h) g, count(*) event_count from {events} group by grouping sets ((h), (d))", events=e)
     return both.select(F.when(F.col("g") == 0, "hour").otherwise("weekday").alias("period_type"), F.coalesce("h", "d").alias("period"), "event_count")
 
 
 @book.add(f"select location, {_BY} from sales group by 1")
 def eda_location(spark: SparkSession, folder: str) -> DataFrame:
-    return _by(star.sales(spark, folder), "location")
+    return _by(star.sales(spark, folder, "location", "order_id", "total4", "qty"), "location")
 
 
 @book.add(f"select channel, {_BY} from sales group by 1")
 def eda_channel(spark: SparkSession, folder: str) -> DataFrame:
-    return _by(star.sales(spark, folder), "channel")
+    return _by(star.sales(spark, folder, "channel", "order_id", "total4", "qty"), "channel")
 
 
 @book.add(f"select (discount2 >= 8)::boolean discounted, {_BY} from sales group by 1")
 def eda_promotion(spark: SparkSession, folder: str) -> DataFrame:
-    return _by(star.sales(spark, folder).withColumn("discounted", F.col("discount2") >= 8), "discounted")
+    return _by(star.sales(spark, folder, "discount2", "order_id", "total4", "qty").withColumn("discounted", F.col("discount2") >= 8), "discounted")
 
 
 @book.add(
@@ -137,7 +134,7 @@ def eda_promotion(spark: SparkSession, folder: str) -> DataFrame:
 )
 def menu_features(spark: SparkSession, folder: str) -> DataFrame:
     """Per item: money, frequency, discount, repeat customers, weekend share, and the mean basket of its lines."""
-    s = star.sales(spark, folder)
+    s = star.sales(spark, folder, "order_id", "item_id", "day")
     per_order = s.groupBy("order_id", "item_id", "day").agg(F.count("*").alias("lines"))
     sizes = F.count("*").over(Window.partitionBy("order_id"))
     sized = per_order.withColumn("size", sizes).groupBy("item_id").agg(
@@ -159,7 +156,7 @@ end_ as (select max(day) d from per_order)
 
 
 def _per_customer(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    s = star.sales(spark, folder)
+    s = star.sales(spark, folder, "customer_id", "order_id", "day", "channel", "total4")
     per_order = s.groupBy("customer_id", "order_id", "day", "channel").agg(F.sum("total4").alias("t"))
     per_day = per_order.groupBy("customer_id", "day").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
     per = per_day.groupBy("customer_id").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.max("day").alias("last_day"), F.min("day").alias("first_day"), F.count("*").alias("visit_days"))
@@ -188,7 +185,7 @@ def customer_features(spark: SparkSession, folder: str) -> DataFrame:
 @book.add("select item_id, location, sum(total4)::bigint / 10000.0 revenue, round(sum(total4) * 100.0 / sum(sum(total4)) over (partition by location), 6) share_pct from sales group by item_id, location")
 def item_location_share(spark: SparkSession, folder: str) -> DataFrame:
     """Revenue of an item at a location and its share of the location's."""
-    per = star.sales(spark, folder).groupBy("item_id", "location").agg(F.sum("total4").alias("t"))
+    per = star.sales(spark, folder, "item_id", "location", "total4").groupBy("item_id", "location").agg(F.sum("total4").alias("t"))
     whole = per.groupBy("location").agg(F.sum("t").alias("all"))  # not a window: a location may hold a third of all rows
     return per.join(whole, "location").select("item_id", "location", money(F.col("t")).alias("revenue"), r(ratio("t", "all", 100)).alias("share_pct"))
 
@@ -233,14 +230,14 @@ def menu_class(spark: SparkSession, folder: str) -> DataFrame:
 )
 def item_seasonality(spark: SparkSession, folder: str) -> DataFrame:
     """Months with sales and the share of the three best."""
-    per = star.sales(spark, folder).groupBy("item_id", F.trunc("day", "month").alias("m")).agg(F.sum("qty").alias("units"))
+    per = star.sales(spark, folder, "item_id", "day", "qty").groupBy("item_id", F.trunc("day", "month").alias("m")).agg(F.sum("qty").alias("units"))
     k = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("units"), "m"))
     return per.withColumn("k", k).groupBy("item_id").agg(F.count("*").alias("active_months"), r(F.sum(F.when(F.col("k") <= 3, F.col("units"))) / F.sum("units")).alias("top3_share"))
 
 
 @book.add("select item_id, count(*) locations, round(stddev_pop(t / 10000.0) / avg(t / 10000.0), 6) variation from (select item_id, location, sum(total4)::bigint t from sales group by all) group by 1")
 def location_variability(spark: SparkSession, folder: str) -> DataFrame:
-    per = star.sales(spark, folder).groupBy("item_id", "location").agg(F.sum("total4").alias("t"))
+    per = star.sales(spark, folder, "item_id", "location", "total4").groupBy("item_id", "location").agg(F.sum("total4").alias("t"))
     return per.groupBy("item_id").agg(F.count("*").alias("locations"), r(F.stddev_pop(money(F.col("t"))) / F.avg(money(F.col("t")))).alias("variation"))
 
 
@@ -255,15 +252,12 @@ rfm as (
 
 
 def _rfm(spark: SparkSession, folder: str) -> DataFrame:
-    """Fifths of all customers by recency, frequency and money.
-
-    ntile needs a global order. The customers are a dimension; the windows run on three narrow columns.
-    """
+    """Fifths of all customers by recency, frequency and money, from positions in a distributed sort: customers grow with the data."""
     _, per = _per_customer(spark, folder)
     c = table(spark, folder, "customer").select(F.col("c_custkey").alias("customer_id")).join(per, "customer_id", "left")
     c = _with_end(c, per).withColumns({"recency": F.datediff("end_day", "last_day").cast("bigint"), "n": F.coalesce("n", F.lit(0)), "t": F.coalesce("t", F.lit(0))})
-    tile = lambda *o: (6 - F.ntile(5).over(Window.orderBy(*o, "customer_id"))).cast("bigint")
-    return c.withColumns({"r": F.when(F.col("last_day").isNotNull(), tile(F.asc_nulls_last("recency"))), "f": tile(F.desc("n")), "m": tile(F.desc("t"))})
+    c = R.tiles(c, "customer_id", {"r": F.coalesce("recency", F.lit(2**62)), "f": -F.col("n"), "m": -F.col("t")}, 5)
+    return c.withColumns({"r": F.when(F.col("last_day").isNotNull(), 6 - F.col("r")), "f": 6 - F.col("f"), "m": 6 - F.col("m")})
 
 
 @book.add("select customer_id, recency::bigint recency_days, n::bigint frequency, t / 10000.0 monetary_value, r::bigint r_score, f::bigint f_score, m::bigint m_score from rfm", _CUST + "," + _RFM)
@@ -349,7 +343,7 @@ def peak_summary(spark: SparkSession, folder: str) -> DataFrame:
       round(avg((disc > 0)::int) * 100, 6) discounted_share from (select location, order_id, any_value(customer_id) customer_id, sum(total4) t, sum(profit4) p, count(*) filter (discount2 >= 8) disc from sales group by all) group by 1"""
 )
 def location_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    per = star.sales(spark, folder).groupBy("location", "customer_id", "order_id").agg(F.sum("total4").alias("t"), F.sum("profit4").alias("p"), F.max((F.col("discount2") >= 8).cast("int")).alias("disc"))
+    per = star.sales(spark, folder, "location", "customer_id", "order_id", "total4", "profit4", "discount2").groupBy("location", "customer_id", "order_id").agg(F.sum("total4").alias("t"), F.sum("profit4").alias("p"), F.max((F.col("discount2") >= 8).cast("int")).alias("disc"))
     cust = per.groupBy("location", "customer_id").agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("disc").alias("disc"))
     out = cust.groupBy("location").agg(F.sum("n").alias("order_count"), F.sum("t").alias("t"), F.sum("p").alias("p"), F.count("*").alias("customers"), F.sum("disc").alias("d"))
     return out.select("location", "order_count", money(F.col("t")).alias("revenue"), money(F.col("p")).alias("margin"), (money(F.col("t")) / F.col("order_count")).alias("average_order_value"), "customers", r(ratio("d", "order_count", 100)).alias("discounted_share"))
@@ -361,7 +355,7 @@ def location_comparison(spark: SparkSession, folder: str) -> DataFrame:
 )
 def location_menu(spark: SparkSession, folder: str) -> DataFrame:
     """Brands ranked within each location, over the aggregated rows."""
-    per = star.sales(spark, folder).groupBy("location", "brand").agg(money(F.sum("total4")).alias("revenue"), F.sum("profit4").alias("p"), F.sum("qty").alias("units"))
+    per = star.sales(spark, folder, "location", "brand", "total4", "profit4", "qty").groupBy("location", "brand").agg(money(F.sum("total4")).alias("revenue"), F.sum("profit4").alias("p"), F.sum("qty").alias("units"))
     per = R.percent_rank(R.percent_rank(per, "p", "a", ["location"], "brand"), "units", "b", ["location"], "brand")
     return per.select("location", "brand", "revenue", r(F.col("a")).alias("profit_rank"), r(F.col("b")).alias("demand_rank"))
 
@@ -371,7 +365,7 @@ def location_menu(spark: SparkSession, folder: str) -> DataFrame:
     from (select channel, order_id, any_value(customer_id) customer_id, sum(total4) t, sum(profit4) p, count(distinct item_id) size from sales group by all) group by 1"""
 )
 def channel_summary(spark: SparkSession, folder: str) -> DataFrame:
-    per = star.sales(spark, folder).groupBy("channel", "customer_id", "order_id", "item_id").agg(F.sum("total4").alias("t"), F.sum("profit4").alias("p"))
+    per = star.sales(spark, folder, "channel", "customer_id", "order_id", "item_id", "total4", "profit4").groupBy("channel", "customer_id", "order_id", "item_id").agg(F.sum("total4").alias("t"), F.sum("profit4").alias("p"))
     per = per.groupBy("channel", "customer_id", "order_id").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.count("*").alias("size"))
     out = per.groupBy("channel").agg(F.count("*").alias("order_count"), F.sum("t").alias("t"), F.sum("p").alias("p"), F.avg("size").alias("s"), F.count_distinct("customer_id").alias("customers"))
     return out.select("channel", "order_count", money(F.col("t")).alias("revenue"), r(ratio("p", "t", 100)).alias("margin_pct"), r(F.col("s")).alias("basket_size"), "customers")
@@ -379,7 +373,7 @@ def channel_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @book.add("select channel, category, revenue, row_number() over (partition by channel order by revenue desc, category)::bigint as rank from (select channel, category, sum(total4)::bigint / 10000.0 revenue from sales group by all)")
 def channel_category(spark: SparkSession, folder: str) -> DataFrame:
-    per = star.sales(spark, folder).groupBy("channel", "category").agg(money(F.sum("total4")).alias("revenue"))
+    per = star.sales(spark, folder, "channel", "category", "total4").groupBy("channel", "category").agg(money(F.sum("total4")).alias("revenue"))
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("revenue"), "category")).cast("bigint"))
 
 

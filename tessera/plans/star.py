@@ -48,10 +48,26 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), cents("p_retailprice").alias("cost2"))
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Completed lines with their order, item and place; profit4 = total4 - qty * cost. Catalyst drops the joins that a query doesn't use only if its columns aren't; each query selects first."""
-    s = lines(spark, folder).join(orders(spark, folder), "order_id").join(items(spark, folder), "item_id").join(places(spark, folder), "customer_id")
-    return s.withColumn("cost4", F.col("qty") * F.col("cost2") * 100).withColumn("profit4", F.col("total4") - F.col("cost4"))
+#: Columns of `sales` that a dimension has, or that need one.
+_OF_ITEMS, _OF_PLACES = {"item_name", "brand", "category", "cost2", "cost4", "profit4"}, {"location", "region"}
+
+
+def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Completed lines with the columns asked for; profit4 = total4 - cost4, of the line's order, item and place.
+
+    Only the dimensions that the columns need are joined, since Catalyst keeps an inner join whose columns nobody reads. Customers
+    and nations are joined to orders, which are fewer than lines, so that lines never move by their customer. A line without its
+    item or customer counts wherever these aren't asked for.
+    """
+    want = set(columns)
+    o = orders(spark, folder)
+    if want & _OF_PLACES:
+        o = o.join(places(spark, folder), "customer_id")
+    s = lines(spark, folder).join(o, "order_id")
+    if want & _OF_ITEMS:
+        s = s.join(items(spark, folder), "item_id")
+        s = s.withColumn("cost4", F.col("qty") * F.col("cost2") * 100).withColumn("profit4", F.col("total4") - F.col("cost4"))
+    return s.select(*columns)
 
 
 def money(c: Column) -> Column:

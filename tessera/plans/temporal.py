@@ -26,7 +26,7 @@ panel as (
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """Daily units per brand and region, 0 on days without sales: a gap-free series from its first day on."""
-    daily = star.sales(spark, folder).groupBy("brand", "region", "day").agg(F.sum("qty").alias("units"))
+    daily = star.sales(spark, folder, "brand", "region", "day", "qty").groupBy("brand", "region", "day").agg(F.sum("qty").alias("units"))
     return trailing.dense(daily, ["brand", "region"], "day", ["units"])
 
 
@@ -143,8 +143,9 @@ def rating_by_item(spark: SparkSession, folder: str) -> DataFrame:
 )
 def high_value_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders above the exact 99.5th percentile of their location; thresholds are a row per location, joined back."""
-    o = star.orders(spark, folder).join(star.places(spark, folder), "customer_id").select("location", "order_id", (F.col("value2") / 100.0).cast("double").alias("value"))
-    limit = o.groupBy("location").agg(F.percentile("value", F.lit(0.995)).alias("p"))
+    o = star.orders(spark, folder).join(star.places(spark, folder), "customer_id").select("location", "order_id", "value2")
+    limit = R.exact_percentile(o, ["location"], "value2", 0.995, bucket=1_000_000).withColumn("p", F.col("percentile") / 100.0)
+    o = o.withColumn("value", (F.col("value2") / 100.0).cast("double"))
     return o.join(limit, "location").where(F.col("value") > F.col("p")).select("location", "order_id", "value", r(F.col("p")).alias("threshold"))
 
 
@@ -189,7 +190,7 @@ def price_asof(spark: SparkSession, folder: str) -> DataFrame:
 def price_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     """Units in the 60 days before and after each change of an item's price: daily sums joined with intervals by bucket."""
     day_no = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    daily = star.sales(spark, folder).groupBy("item_id", "day").agg(F.sum("qty").alias("units")).withColumn("at", day_no("day"))
+    daily = star.sales(spark, folder, "item_id", "day", "qty").groupBy("item_id", "day").agg(F.sum("qty").alias("units")).withColumn("at", day_no("day"))
     ev = _price_events(spark, folder).where("previous4 > 0").select("item_id", "since", (day_no("since") - 60).alias("lo"), (day_no("since") + 59).alias("hi"), day_no("since").alias("no"))
     j = R.within_intervals(daily, ev, ["item_id"], "at", "lo", "hi", bucket=120)
     before, after = F.col("at") < F.col("no"), F.col("at") >= F.col("no")

@@ -66,3 +66,45 @@ def test_error_metrics(spark):
     df = spark.createDataFrame([("m", 0.0, 1.0), ("m", 2.0, 1.0), ("m", 4.0, -3.0), ("m", None, 1.0)], "g string, a double, p double")
     r = R.error_metrics(df, "a", "p", ["g"]).first()
     assert (r.n, r.mae, r.mape) == (3, 2.0, 75.0)
+
+
+def test_tiles_are_ntile(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(4)
+    for size in (0, 1, 3, 4, 5, 23, 300):
+        df = spark.createDataFrame([(f"k{i}", rng.randint(0, 6), rng.randint(-5, 1000)) for i in range(size)], "k string, a int, b int")
+        want = df.withColumns({"x": F.ntile(5).over(Window.orderBy("a", "k")), "y": F.ntile(5).over(Window.orderBy(F.desc("b"), "k"))})
+        got = R.tiles(df, "k", {"x": F.col("a"), "y": -F.col("b")}, 5)
+        rows = lambda d: {(r.k, r.x, r.y) for r in d.collect()}
+        assert rows(got) == rows(want) and got.count() == size
+
+
+def test_exact_percentile(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randint(-200, 5000) if rng.random() < 0.9 else None) for k in ("a", "b", None) for _ in range(rng.randint(1, 400))] + [("one", 7), ("tie", 3), ("tie", 3), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    for p in (0.0, 0.25, 0.5, 0.995, 1.0):
+        want = {r.k: r.p for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.lit(p)).alias("p")).collect()}
+        for bucket in (1, 100, 10**6):
+            got = {r.k: r.percentile for r in R.exact_percentile(df, ["k"], "v", p, bucket).collect()}
+            assert {k: v for k, v in got.items() if k is not None} == pytest.approx({k: v for k, v in want.items() if k is not None})
+
+
+def test_grid_refuses_a_large_second_set(spark):
+    assert R.grid(spark.range(3), spark.range(4).toDF("b")).count() == 12
+    assert R.grid(spark.range(3), spark.range(0).toDF("b")).count() == 0
+    with pytest.raises(Exception, match="more than"):
+        R.grid(spark.range(3), spark.range(R.GRID + 1).toDF("b")).collect()
+
+
+def test_sales_reads_only_what_is_asked_for(spark, folder):
+    from tessera.plans import star
+
+    def scans(*columns):
+        plan = star.sales(spark, folder, *columns)._jdf.queryExecution().executedPlan().toString()
+        return {n for n in ("lineitem", "orders", "part", "customer", "nation", "region") if f"/{n}.parquet" in plan}
+
+    assert scans("channel", "qty") == {"lineitem", "orders"}
+    assert scans("brand", "profit4") == {"lineitem", "orders", "part"}
+    assert scans("location") == {"lineitem", "orders", "customer", "nation", "region"}
