@@ -49,15 +49,17 @@ def filled_sheets(inventory: DataFrame, model: units.UnitModel = units.UnitModel
         ),
         "stock-nodes",
     )
-    branch = impute.propagate_category(
-        nodes, "inventory_id", "b", [*_chain(["i"], "chain", 20.0), *_chain([], "value", 0.2), *_levels(["i"], "level", 1.0), ("item", ["i"], 0.1), ("month", ["m"], 0.001)]
-    )
-    item = impute.propagate_category(
-        nodes, "inventory_id", "i", [*_chain(["b"], "chain", 20.0), *_chain([], "value", 0.2), *_levels(["b", "dim"], "level", 1.0), ("branch", ["b"], 0.1), ("month", ["m"], 0.001)]
+    near = lambda keys, level: [*_chain(keys, "chain", 20.0), *_chain([], "value", 0.2), *_levels(level, "level", 1.0)]
+    keys = cut(
+        impute.propagate_category(
+            nodes, "inventory_id", {"b": impute.Target("b", near(["i"], ["i"]), [["i"], ["m"]]), "i": impute.Target("i", near(["b"], ["b", "dim"]), [["b", "dim"], ["b"], ["m"]])}
+        ),
+        "stock-keys",
     )
+    got = lambda name, value, share: keys.where(F.col("target") == name).select("inventory_id", F.col("filled").alias(value), F.col("share").alias(share))
     full = cut(
-        nodes.join(branch.select("inventory_id", F.col("filled").alias("b2"), F.col("share").alias("restaurant_share")), "inventory_id", "left")
-        .join(item.select("inventory_id", F.col("filled").alias("i2"), F.col("share").alias("item_share")), "inventory_id", "left")
+        nodes.join(got("b", "b2", "restaurant_share"), "inventory_id", "left")
+        .join(got("i", "i2", "item_share"), "inventory_id", "left")
         .withColumns({"bb": F.coalesce("b", "b2"), "ii": F.coalesce("i", "i2"), "x": F.log1p("consumed")})
         # what a sheet lost from its opening and received stock is how similar two sheets of an item are
         .withColumn("flow", F.col("opening") + F.col("received") - F.col("closing")),
@@ -78,7 +80,10 @@ def filled_sheets(inventory: DataFrame, model: units.UnitModel = units.UnitModel
 
 
 def filled_cells(inventory: DataFrame, model: units.UnitModel = units.UnitModel()) -> DataFrame:
-    """One row per cell that was filled: inventory_id, field_name, filled_value (text), share (of a filled key)."""
+    """One row per cell that was filled: inventory_id, field_name, filled_value (text), share (of a filled key).
+
+    A gap that no other sheet can fill (a table without a single observed value) isn't among them.
+    """
     at = filled_sheets(inventory, model)
     cell = lambda field, flag, value, share: F.when(F.col(flag), F.struct(F.lit(field).alias("field_name"), F.col(value).cast("string").alias("filled_value"), share.alias("share")))
     cells = F.array(
@@ -86,4 +91,4 @@ def filled_cells(inventory: DataFrame, model: units.UnitModel = units.UnitModel(
         cell("item_id", "item_filled", "item_id", F.col("item_share")),
         cell("consumed_stock", "consumed_filled", "consumed", F.lit(None).cast("double")),
     )
-    return at.select("inventory_id", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("inventory_id", "c.*")
+    return at.select("inventory_id", F.explode(F.filter(cells, lambda c: c.isNotNull() & c.filled_value.isNotNull())).alias("c")).select("inventory_id", "c.*")
