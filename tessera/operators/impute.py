@@ -81,11 +81,12 @@ class Target:
     wide: list[list[Column | str]] = field(default_factory=list)
 
 
-def propagate_category(df: DataFrame, node: str, targets: dict[str, Target], tolerance: float = 0.01) -> DataFrame:
+def propagate_category(df: DataFrame, node: str, targets: dict[str, Target], tolerance: float = 0.05) -> DataFrame:
     """Fills null labels of several columns at once; gives node, target, filled, share (of the winning label) per gap.
 
-    Each edge hands on the shares of the labels on it, whole distributions, times its weight; rounds end when no winner changes and
-    no winner's share moves by more than tolerance. Ties go to the least label. Edges are counted before anything moves, so
+    Each edge hands on the shares of the labels on it, whole distributions, times its weight; rounds end when no
+    node's winning share moves by more than tolerance (then only labels that are as good as tied still change places). Ties go to
+    the least label. Edges are counted before anything moves, so
     an edge costs as many rows as it has labels. Wide groups, which hold a great part of all nodes, aren't edges: a node that no
     edge reaches takes the commonest label of the first of its groups that has one, else of the whole table, with share 0.
     """
@@ -109,9 +110,9 @@ def propagate_category(df: DataFrame, node: str, targets: dict[str, Target], tol
         now = cut(now.select("target", node, "label", "share", "_r"), "beliefs")
         was, beliefs = beliefs, now
         if was is not None:
-            first = lambda b, *names: b.where("_r = 1").select("target", node, F.col("label").alias(names[0]), F.col("share").alias(names[1]))
-            both_ = first(now, "a", "p").join(first(was, "b", "q"), ["target", node], "left")
-            settled = both_.where(F.col("b").isNull() | (F.col("a") != F.col("b")) | (F.abs(F.col("p") - F.col("q")) > tolerance)).isEmpty()
+            winning = lambda b, name: b.where("_r = 1").select("target", node, F.col("share").alias(name))
+            both_ = winning(now, "p").join(winning(was, "q"), ["target", node], "left")
+            settled = both_.where(F.col("q").isNull() | (F.abs(F.col("p") - F.col("q")) > tolerance)).isEmpty()
             release(was)
             if settled:
                 break

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tessera.functions import quantity as Q
 from tessera.functions.keys import key_or_null
@@ -39,13 +39,13 @@ PACKAGES = (25.0, 10.0, 20.0, 0.75, 24.0)
 class UnitModel:
     """Settings of the mixture.
 
-    rounds: of expectation maximisation. bin: width of the histogram's bins on the log scale. freedom: of the t
+    tolerance: expectation maximisation ends when the spread and no share moves by more. bin: width of the histogram's bins on the log scale. freedom: of the t
     distribution that stands for the bell, whose tails carry months with hardly any consumption. doubt: a label is not
     believed when its posterior is below this. plain: and only if the numbers are off by at least this factor.
     sure: assignments with a posterior below this are flagged as uncertain. impossible: numbers from this on are no stock.
     """
 
-    rounds: int = 3
+    tolerance: float = 0.005
     bin: float = 0.05
     freedom: float = 3.0
     doubt: float = 0.01
@@ -148,23 +148,38 @@ def fit(parsed: DataFrame, model: UnitModel = UnitModel()) -> tuple[DataFrame, D
     )
     # a label's meaning as ln of its size; 0 and no meaning where the label is of another dimension
     meant = F.when((F.col("dim") == F.col("dim_")) & (F.col("size") > 0), F.round(F.ln("size"), 4))
-    bins = cut(
+    bins = (
         long.join(dims, "_item", "left")
         .withColumn("dim_", F.coalesce("item_dim", "dim"))
         .where(F.col("dim_").isNotNull())
         .groupBy("_branch", "_item", "field", "dim_", meant.alias("meant"), F.round(F.ln("num") / model.bin).cast("int").alias("bin"))
         .agg(F.count("*").cast("double").alias("n"))
-        .withColumn("x", F.col("bin") * model.bin)
-        .drop("bin"),
-        "unit-bins",
+        .select("_branch", "_item", "field", "dim_", F.struct(F.coalesce("meant", F.lit(float("nan"))).alias("meant"), (F.col("bin") * model.bin).alias("x"), "n").alias("h"))
     )
-    mu = _locations(bins.where("meant is not null").withColumn("x", F.col("x") + F.col("meant")))
+    # a cell keeps its histogram, as many entries as a cell has bins and labels, so that rounds never go back to rows
+    cells = cut(bins.groupBy("_branch", "_item", "field", "dim_").agg(F.collect_list("h").alias("hist")), "unit-cells")
+    told = cells.select("_item", "dim_", "field", F.inline("hist")).where(~F.isnan("meant"))
+    middle = F.percentile(F.col("x") + F.col("meant"), F.lit(0.5), F.col("n").cast("bigint"))
+    place = {(r.dim_, r.field): r.m for r in told.groupBy("dim_", "field").agg(middle.alias("m")).collect()}  # a row per dimension and field
+    items = told.where("_item is not null").groupBy("_item", "field").agg(middle.alias("m_item"))
+    state = cells.withColumns({"n": F.lit(None).cast("double"), "sy": F.lit(None).cast("double")})
     spread, shares = 0.3, _first_shares()
-    for _ in range(model.rounds):
-        sums = cut(_expect(bins, mu, shares, spread, model), "unit-sums")
-        shares, spread = _global_step(sums, shares)
-        mu = _locations(sums)
-    return dims, cut(mu, "unit-mu"), {"spread": spread, "shares": shares}
+    for _ in range(MOST_ROUNDS):
+        done = cut(_expect(state.join(items, ["_item", "field"], "left"), place, shares, spread, model), "unit-sums")
+        was = shares, spread
+        shares, spread = _global_step(done.where("label is not null"), shares)
+        state = done.where("label is null").select(*cells.columns, "n", "sy")
+        place = {(r.dim_, r.field): r.m for r in state.where("n > 0").groupBy("dim_", "field").agg((F.sum("sy") / F.sum("n")).alias("m")).collect()}
+        items = state.where("_item is not null and n > 0").groupBy("_item", "field").agg((F.sum("sy") / F.sum("n")).alias("m_item"))
+        if abs(spread - was[1]) <= model.tolerance and all(abs(v - was[0][k]) <= model.tolerance for k, v in shares.items()):
+            break
+    else:
+        raise RuntimeError(f"the mixture hasn't settled after {MOST_ROUNDS} rounds")
+    return dims, cut(_locations(state.where("n > 0")), "unit-mu"), {"spread": spread, "shares": shares}
+
+
+#: Rounds at most; a table that needs more raises, rather than giving what hasn't settled.
+MOST_ROUNDS = 100
 
 
 def _first_shares() -> dict[tuple[str, int, int], float]:
@@ -181,10 +196,9 @@ def _first_shares() -> dict[tuple[str, int, int], float]:
 def _locations(cells: DataFrame) -> DataFrame:
     """Typical ln amounts per branch and item, per item, and per dimension, each as a map by field.
 
-    cells: x with weight n (a median is taken), or sums: sy and n (the mean). The location of a branch leans on its item's as
-    if by two more numbers.
+    cells: sums sy and n. The location of a branch leans on its item's as if by two more numbers.
     """
-    at = F.percentile("x", F.lit(0.5), F.col("n").cast("bigint")) if "x" in cells.columns else F.sum("sy") / F.sum("n")
+    at = F.sum("sy") / F.sum("n")
     wide = lambda df, keys: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("field", "m"))).alias("mu"))
     items = cells.where("_item is not null").groupBy("_item", "field").agg(at.alias("m_item"))
     both = cells.where("_item is not null and _branch is not null").groupBy("_branch", "_item", "field").agg(at.alias("m_own"), F.sum("n").alias("n_own"))
@@ -210,31 +224,64 @@ def _mu(field: Column) -> Column:
     return F.coalesce(F.try_element_at("mu_own", field), F.try_element_at("mu_item", field), F.try_element_at("mu_dim", field))
 
 
-_SUMS = ["n", "sy", "dev", *[f"w{c}" for c in range(1, WIDEST + 1)]]
+_SUMS = ["n", "dev", *[f"w{c}" for c in range(1, WIDEST + 1)]]
+
 
+def _median(x: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    at = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(at, at[-1] / 2)])
 
-def _expect(bins: DataFrame, mu: DataFrame, shares: dict, spread: float, model: UnitModel) -> DataFrame:
-    """Sums per branch, item, field, dimension and label: n, sy (of expected ln amounts), dev (of deviations), w1, w2, ... (per component).
 
-    Bins go through numpy in Arrow batches, each of which gives its partial sums. As columns of their own, the six components
-    made plans of megabytes, whose planning took the driver longer than the rows.
+def _expect(cells: DataFrame, place: dict, shares: dict, spread: float, model: UnitModel) -> DataFrame:
+    """One round over the cells' histograms: the cells with new n and sy (of expected ln amounts), and, with a label, sums over all
+    cells of a batch: n, dev (of deviations), w1, w2, ... (per component).
+
+    cells: _branch, _item, field, dim_, hist, n, sy (null before the first round), m_item. Arithmetic runs in numpy; as columns, the six
+    components made plans of megabytes, whose planning took the driver longer than the rows.
     """
-    at = with_locations(bins, mu).select("_branch", "_item", "field", "dim_", "meant", "n", "x", _mu(F.col("field")).alias("m")).where("m is not null")
     table = _ln_shares(shares)
+    keys = ["_branch", "_item", "field", "dim_"]
+    schema = StructType([*[f for f in cells.schema.fields if f.name in (*keys, "hist")]] + [StructField("label", IntegerType())] + [StructField(c, DoubleType()) for c in ("sy", *_SUMS)])
+    columns = schema.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            dim, x, m, n = _dim_no(b["dim_"]), b["x"].to_numpy(float), b["m"].to_numpy(float), b["n"].to_numpy(float)
-            label = _label_no(np.exp(b["meant"].to_numpy(float)), dim)
+            b = b.reset_index(drop=True)
+            size = b["hist"].map(len).to_numpy()
+            start = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(b)), size)
+            flat = [h for hist in b["hist"] for h in hist]
+            meant, x, n = (np.array([h[k] for h in flat], dtype=float) for k in ("meant", "x", "n"))
+            own_n, own_sy = b["n"].to_numpy(float).copy(), b["sy"].to_numpy(float).copy()
+            for k in np.flatnonzero(np.isnan(own_n)):  # before the first round: what labels say
+                mine = slice(start[k], start[k] + size[k])
+                a, w = (x + meant)[mine], n[mine]
+                a, w = a[~np.isnan(a)], w[~np.isnan(a)]
+                own_n[k], own_sy[k] = (w.sum(), w.sum() * _median(a, w)) if len(a) else (0.0, 0.0)
+            m_item = b["m_item"].to_numpy(float)
+            m_dim = np.array([place.get(k, np.nan) for k in zip(b["dim_"], b["field"])], dtype=float)
+            both = (b["_branch"].notna() & b["_item"].notna()).to_numpy() & (own_n > 0) & ~np.isnan(m_item)
+            m = np.where(both, (own_sy + 2 * np.nan_to_num(m_item)) / (own_n + 2), np.where(np.isnan(m_item), m_dim, m_item))[row]
+            dim = _dim_no(b["dim_"])[row]
+            label = _label_no(np.exp(meant), dim)
+            seen = ~np.isnan(m)
             p = _softmax(table[dim, label] + _fit_of(x, m, dim, spread, model))
             ln_size = np.log(_SIZES[dim])
-            out = b[["_branch", "_item", "field", "dim_"]].assign(label=label.astype(np.int32), n=n, sy=n * (x + (p * ln_size).sum(axis=1)))
-            out["dev"] = n * (p * np.minimum(np.abs(x[:, None] + ln_size - m[:, None]), 1.0)).sum(axis=1)
-            out[_SUMS[3:]] = n[:, None] * p
-            yield out.groupby(["_branch", "_item", "field", "dim_", "label"], dropna=False, sort=False, as_index=False)[_SUMS].sum()
-
-    schema = "_branch string, _item string, field string, dim_ string, label int, " + ", ".join(f"{c} double" for c in _SUMS)
-    return at.mapInPandas(run, schema).groupBy("_branch", "_item", "field", "dim_", "label").agg(*[F.sum(c).alias(c) for c in _SUMS])
+            n = np.where(seen, n, 0.0)
+            out = b[[*keys, "hist"]].copy()
+            out["label"] = pd.array([None] * len(b), dtype="Int32")
+            out["n"] = np.bincount(row, weights=n, minlength=len(b))
+            out["sy"] = np.bincount(row, weights=n * (x + (p * ln_size).sum(axis=1)), minlength=len(b))
+            out[_SUMS[1:]] = np.nan
+            yield out[columns]
+            far = np.minimum(np.abs(x[:, None] + ln_size - m[:, None]), 1.0)
+            sums = pd.DataFrame(n[:, None] * p, columns=_SUMS[2:]).assign(dim_=np.array(DIMENSIONS, dtype=object)[dim], label=label, n=n, dev=n * np.nan_to_num((p * far).sum(axis=1)))
+            sums = sums.groupby(["dim_", "label"], as_index=False)[_SUMS].sum()
+            sums["label"] = sums["label"].astype("Int32")
+            yield sums.assign(_branch=None, _item=None, field=None, hist=None, sy=np.nan)[columns]
+
+    return cells.mapInPandas(run, schema)
 
 
 def _global_step(sums: DataFrame, before: dict) -> tuple[dict, float]:
