@@ -112,7 +112,7 @@ def orphans(tables: dict[str, DataFrame], deleted: DataFrame, refs: list[Referen
     key), deleted (a deletion at or before the row's time), not_yet_loaded (the parent came after the row). Empty tables give no
     rows; a child without loaded_at is only tested for keys that never existed.
     """
-    rows = reference_rows(tables, refs)
+    rows = cut(reference_rows(tables, refs), "references")  # read twice: for the keys referred to, and for the suspects' rows
     life = parent_life(tables, deleted, refs)
     domain_of = F.create_map(*[F.lit(x) for no, r in enumerate(refs) for x in (no, r.parent)])
     used = rows.groupBy("ref", "key", "period").agg(F.lit(1).alias("_one")).select(F.element_at(domain_of, F.col("ref")).alias("domain"), "key", F.struct("ref", "period").alias("use"))
@@ -152,7 +152,7 @@ def orphans(tables: dict[str, DataFrame], deleted: DataFrame, refs: list[Referen
         .agg(F.expr("bitmap_construct_agg(pos)").alias("bitmap"))
     )
     left = maps.groupBy("domain", "range").applyInPandas(_and_not, "domain string, range bigint, ref int, period int, pos bigint")
-    suspects = left.join(coded.select("domain", "range", "pos", "key", "born", "died", "known"), ["domain", "range", "pos"]).select("ref", "period", "key", "born", "died", "known")
+    suspects = cut(left.join(coded.select("domain", "range", "pos", "key", "born", "died", "known"), ["domain", "range", "pos"]).select("ref", "period", "key", "born", "died", "known"), "suspects")  # its size is known now: small ones are sent to all
     near = rows.join(suspects, ["ref", "period", "key"])
     reason = (
         F.when(~F.col("known"), F.lit("never_existed"))

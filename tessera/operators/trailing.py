@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 
 def spine(daily: DataFrame, keys: list[str], day: str, last: DataFrame | None = None) -> DataFrame:
     """Every day of each entity from its first day to the last day of any entity (or that of the one-row frame `last`).
@@ -65,6 +67,7 @@ def trailing_totals(events: DataFrame, key: str, day: str, value: str, windows:
     entity's days run from its first to the last day of any entity; avg_w divides by w always. Also gives day_no, from 0.
     """
     daily = events.where(F.col(key).isNotNull() & F.col(day).isNotNull() & F.col(value).isNotNull()).groupBy(key, day).agg(F.sum(value).alias("total"))
+    daily = cut(daily, "daily")  # a row per entity and day, read for the spine, its end and the values
     out = trailing_sums(dense(daily, [key], day, ["total"]), [key], day, "total", windows)
     first = F.min(day).over(Window.partitionBy(key))
     return out.withColumns({f"avg_{n}": F.col(f"sum_{n}") / F.lit(n) for n in windows} | {"day_no": F.datediff(day, first)})
