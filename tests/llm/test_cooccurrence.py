@@ -39,3 +39,14 @@ def test_identical_baskets_collapse(spark):
 
 def test_empty(spark):
     assert C.scored_pairs(spark.createDataFrame([], SCHEMA), "order_id", "item_id").count() == 0
+
+
+def test_large_baskets_in_blocks_give_the_same(spark):
+    """Whatever the size from which on a basket is unrolled in blocks."""
+    rng = random.Random(5)
+    rows = [("HUGE1", f"i{rng.randint(0, 60)}") for _ in range(400)] + [(f"b{rng.randint(0, 40)}", f"i{rng.randint(0, 25)}") for _ in range(200)] + [("b1", None), (None, "i3")]
+    df = spark.createDataFrame(rows, "basket string, item string")
+    want = {tuple(r) for r in C.scored_pairs(df, "basket", "item").collect()}
+    assert len(want) > 1000
+    for large in (1, 5, 17):
+        assert {tuple(r) for r in C.scored_pairs(df, "basket", "item", large=large).collect()} == want
