@@ -16,12 +16,12 @@ def _bins(x: Column, width: float) -> tuple[Column, Column]:
     return F.floor(at), F.floor(at + 0.5)
 
 
-def _chain(keys: list[str], tag: str, weight: float) -> list[tuple[str, list, float]]:
-    """Similarity edges along time: what one month closes with, the next opens with."""
+def _chain(keys: list[str], tag: str, weight: float, width: float = 0.02, unless: Column | None = None) -> list[tuple[str, list, float]]:
+    """Similarity edges along time: what one month closes with, the next opens with. Sheets for which `unless` holds don't hang on them."""
     out = []
     for quantity, month in (("opening", F.col("m")), ("closing", F.col("m") + 1)):
-        for k, b in enumerate(_bins(F.col(quantity), 0.02)):
-            out.append((f"{tag}{k}", [*keys, month, b], weight))
+        for k, b in enumerate(_bins(F.col(quantity), width)):
+            out.append((f"{tag}{k}", [*keys, month, b if unless is None else F.when(unless, None).otherwise(b)], weight))
     return out
 
 
@@ -49,10 +49,13 @@ def filled_sheets(inventory: DataFrame, model: units.UnitModel = units.UnitModel
         ),
         "stock-nodes",
     )
-    near = lambda keys, level: [*_chain(keys, "chain", 20.0), *_chain([], "value", 0.2), *_levels(level, "level", 1.0)]
+    # without branch and item both, only the quantity itself links a sheet to its neighbours; such edges hold many labels, so no other gap hangs on them
+    near = lambda me, keys, level: [
+        *_chain(keys, "chain", 20.0), *_chain([], "value", 0.2, 0.002, F.col(me).isNull() & F.col(keys[0]).isNotNull()), *_levels(level, "level", 1.0)
+    ]
     keys = cut(
         impute.propagate_category(
-            nodes, "inventory_id", {"b": impute.Target("b", near(["i"], ["i"]), [["i"], ["m"]]), "i": impute.Target("i", near(["b"], ["b", "dim"]), [["b", "dim"], ["b"], ["m"]])}
+            nodes, "inventory_id", {"b": impute.Target("b", near("b", ["i"], ["i"]), [["i"], ["m"]]), "i": impute.Target("i", near("i", ["b"], ["b", "dim"]), [["b", "dim"], ["b"], ["m"]])}
         ),
         "stock-keys",
     )
