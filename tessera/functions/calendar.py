@@ -28,3 +28,15 @@ def real_day(c: str | Column) -> Column:
         iso = F.concat_ws("-", part(y, 4), part(m, 2), part(d, 2))
         out = F.when(text.rlike(pattern), iso.try_cast("date")).otherwise(out)
     return out
+
+
+def season(day: str | Column) -> Column:
+    """Winter (December to February), Spring, Summer or Autumn; null where the day is."""
+    m = F.month(col(day))
+    return F.when(m.isNull(), None).when(m.isin(12, 1, 2), "Winter").when(m <= 5, "Spring").when(m <= 8, "Summer").otherwise("Autumn")
+
+
+def time_of_day(at: str | Column) -> Column:
+    """Morning (5 to 11), Afternoon (12 to 16), Evening (17 to 21) or Night; null where the time is."""
+    h = F.hour(col(at))
+    return F.when(h.isNull(), None).when(h.between(5, 11), "Morning").when(h.between(12, 16), "Afternoon").when(h.between(17, 21), "Evening").otherwise("Night")
