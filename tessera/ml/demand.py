@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arith import r
+from tessera.ml import sgd
 from tessera.operators import relational as R
 from tessera.session import cut
 
@@ -50,14 +51,11 @@ def validate(data: DataFrame) -> None:
 
 
 def _hashed(data: DataFrame) -> DataFrame:
-    """Adds hashed: predictions of a model that shares nothing with the pipeline: hashed features, log1p of lags and target."""
-    logs = {f"log_{c}": F.log1p(F.col(c)) for c in ("lag_1", "lag_7", "mean_7")}
-    words = {f"{c}_word": F.col(c).cast("int").cast("string") for c in ("dow", "month", "year")}
-    rows = data.withColumns(logs | words | {"log_units": F.log1p("units")})
-    hasher = FeatureHasher(inputCols=["brand", "region", *words, *logs, "day_sin", "day_cos"], outputCol="hashes", numFeatures=2048)
-    model = LinearRegression(featuresCol="hashes", labelCol="log_units", predictionCol="log_hashed", solver="l-bfgs", maxIter=100, regParam=1e-4)
-    fitted = Pipeline(stages=[hasher, model]).fit(rows.where("split = 'train'")).transform(rows)
-    return fitted.withColumn("hashed", F.expm1("log_hashed")).drop("hashes", "log_hashed", "log_units", *logs, *words)
+    """Adds hashed: predictions of a model that shares nothing with the pipeline, see `ml.sgd`."""
+    logs = sgd.log_record(["lag_1", "lag_7", "mean_7"])
+    rows = data.select("*", *sgd.hashed(["brand", "region", "dow", "month", "year"], {**logs, "day_sin": F.col("day_sin"), "day_cos": F.col("day_cos")}))
+    weights, _ = sgd.fit(rows, F.col("split") == "train", F.col("split") == "choose", "units")
+    return sgd.predicted(rows, weights, "hashed").drop("places", "values")
 
 
 def _predictions(panel: DataFrame) -> DataFrame:
@@ -75,6 +73,7 @@ def _predictions(panel: DataFrame) -> DataFrame:
     for name, m in models.items():
         fitted = m.setPredictionCol(name).fit(prepared.where("split = 'train'"))
         out = fitted.transform(out)
+    out = out.select("brand", "region", "day", "split", "units", *MODELS, *FEATURES, "lag7")
     return cut(_hashed(out).select("brand", "region", "day", "split", "units", *MODELS, "hashed", "lag7"), "predicted")
 
 

@@ -95,3 +95,16 @@ def filled_cells(inventory: DataFrame, model: units.UnitModel = units.UnitModel(
         cell("consumed_stock", "consumed_filled", "consumed", F.lit(None).cast("double")),
     )
     return at.select("inventory_id", F.explode(F.filter(cells, lambda c: c.isNotNull() & c.filled_value.isNotNull())).alias("c")).select("inventory_id", "c.*")
+
+
+def unbalanced(sheets: DataFrame, model: units.UnitModel = units.UnitModel(), share: float = 0.02, least: float = 0.3) -> DataFrame:
+    """Sheets whose opening + received - consumed differs from closing by more than a share of what there was, and `least`.
+
+    Numbers are brought to common units first; sheets with a missing number aren't judged. Gives inventory_id, opening, received,
+    consumed, closing and off, the difference.
+    """
+    at = units.normalised(sheets, model)
+    o, rec, c, e = (F.col(f"{f}__common") for f in units.FIELDS)
+    off = o + rec - c - e
+    cols = [F.round(x, 3).alias(n) for x, n in ((o, "opening"), (rec, "received"), (c, "consumed"), (e, "closing"), (off, "off"))]
+    return at.where(F.abs(off) > share * F.greatest(o + rec, F.lit(1.0)) + least).select("inventory_id", *cols)

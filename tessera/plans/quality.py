@@ -212,16 +212,10 @@ def wastage_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @book.add()
 def stock_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """Stock sheets whose opening + received - consumed differs from closing by more than a fiftieth, in common units.
+    """Stock sheets whose numbers don't balance. The units come from the mixture of problem 4, so there is no SQL."""
+    from tessera.operators import stock
 
-    The units come from the mixture of problem 4, so there is no SQL; sheets with a missing number aren't judged.
-    """
-    from tessera.operators import units
-
-    at = units.normalised(problems._sheets(spark, folder))
-    o, rec, c, e = (F.col(f"{f}__common") for f in units.FIELDS)
-    off = o + rec - c - e
-    return at.where(F.abs(off) > 0.02 * F.greatest(o + rec, F.lit(1.0)) + 0.3).select("inventory_id", r(o, 3).alias("opening"), r(rec, 3).alias("received"), r(c, 3).alias("consumed"), r(e, 3).alias("closing"), r(off, 3).alias("off"))
+    return stock.unbalanced(problems._sheets(spark, folder))
 
 
 @book.add(

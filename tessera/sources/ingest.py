@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,8 @@ from pyspark.sql import types as T
 from tessera.functions.keys import strip
 from tessera.session import cut
 
-FLAG = "__invalid_cast__"
+#: What the name of a column's flag begins with: it said something, but not that.
+FLAG = "unread__"
 # Notations of dates and times that are tried in order, and words for booleans.
 DATE_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
 TIME_FORMATS = ("M/d/yyyy H:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
@@ -33,7 +36,7 @@ def parse(c: str | Column, kind: T.DataType) -> Column:
 
 
 def typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """All-text columns as the schema's types, each non-text one with a flag __invalid_cast__<name>: said something, but not that.
+    """All-text columns as the schema's types, each non-text one with a flag unread__<name>: said something, but not that.
 
     Missing or unexpected columns raise ValueError with their names.
     """
@@ -45,10 +48,9 @@ def typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.select(*values, *flags)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, split: str = "64m") -> DataFrame:
-    """CSV files with a header, read as text and typed. Nothing is inferred; files are split by size."""
+def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """CSV files with a header, read as text and typed. Nothing is inferred; files are split by the session's maxPartitionBytes."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     return typed(spark.read.schema(text).csv(paths, header=True, encoding="UTF-8", mode="PERMISSIVE", enforceSchema=False), schema)
 
 
@@ -95,9 +97,64 @@ def safe_text(c: str) -> Column:
     return F.when(F.col(c).rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), F.col(c))).otherwise(F.col(c))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, every text column made safe."""
-    df.select(*[safe_text(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema]).write.csv(path, header=True, mode="errorifexists")
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header, every text column made safe; raises where reading it back gives other rows or columns.
+
+    mark: a byte order mark before each file's header, by which spreadsheets know UTF-8.
+    """
+    safe = df.select(*[safe_text(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema])
+    safe = safe.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else safe
+    safe.write.csv(path, header=True, mode="errorifexists")
+    back = df.sparkSession.read.csv(path, header=True, multiLine=True)
+    if [c.lstrip("\ufeff") for c in back.columns] != df.columns or back.count() != df.count():
+        raise RuntimeError(f"{path}: what was read isn't what was written")
+
+
+def read_inferred(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """CSV files with types as Spark infers them: evidence to set against the declared ones, see `schema_differences`."""
+    return spark.read.csv(paths, header=True, inferSchema=True)
+
+
+def read_page(spark: SparkSession, path: str, columns: list[str], rows: int) -> DataFrame:
+    """Some columns of a Parquet table, at most `rows` rows: only these columns are read."""
+    return spark.read.parquet(path).select(*columns).limit(rows)
+
+
+def read_partitioned(spark: SparkSession, root: str, **where: object) -> DataFrame:
+    """A table in folders name=value: the names become columns, and folders that `where` excludes aren't listed."""
+    df = spark.read.option("basePath", root).parquet(root)
+    for k, v in where.items():
+        df = df.where(F.col(k) == v)
+    return df
+
+
+def batches(df: DataFrame, size: int = 10_000) -> Iterator[list]:
+    """The table's rows in lists of `size`, one partition at a time, so that the driver holds a partition and a list at most."""
+    some = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        some.append(row)
+        if len(some) == size:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A report as one JSON text, on the file system of the path."""
+    spark.createDataFrame([(json.dumps(report, ensure_ascii=False, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def require_rows(df: DataFrame, name: str) -> DataFrame:
+    """df, or an error if it has no row: reads one row at most."""
+    if df.isEmpty():
+        raise ValueError(f"{name}: no rows")
+    return df
+
+
+def with_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with exactly the schema's columns, in its order: missing ones are null, others are left out, types are cast."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def quarantine(df: DataFrame, keys: list[str], valid: Column, reason: str) -> tuple[DataFrame, DataFrame]:

@@ -62,3 +62,23 @@ def test_append_new_and_inventory(spark, tmp_path):
     row = ingest.file_inventory(spark, str(tmp_path / "f.csv")).first()
     assert row["bytes"] == 2 and len(row.sha256) == 64
     assert ingest.same_table(a, a.repartition(3))["equal"] and not ingest.same_table(a, a.limit(2))["equal"]
+
+
+def test_pages_partitions_batches_reports(spark, tmp_path):
+    df = spark.range(25).select("id", (F.col("id") % 3).cast("int").alias("g"), F.concat(F.lit("=x"), F.col("id").cast("string")).alias("t"))
+    df.write.partitionBy("g").parquet(str(tmp_path / "p"))
+    part = ingest.read_partitioned(spark, str(tmp_path / "p"), g=1)
+    assert part.count() == 8 and "PartitionFilters: [isnotnull(g" in part._jdf.queryExecution().executedPlan().toString()
+    assert ingest.read_page(spark, str(tmp_path / "p"), ["id"], 5).count() == 5
+    assert [len(b) for b in ingest.batches(df, 10)] == [10, 10, 5] and list(ingest.batches(df.limit(0))) == []
+    ingest.write_csv(df, str(tmp_path / "c"), mark=True)
+    texts = [p.read_text(encoding="utf-8") for p in (tmp_path / "c").glob("part-*")]
+    assert all(t.startswith("﻿") or t.startswith('"﻿') for t in texts) and any("'=x3" in t for t in texts)
+    ingest.write_report(spark, {"rows": 25, "é": [1, None]}, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first()["rows"] == 25
+    with pytest.raises(ValueError, match="none"):
+        ingest.require_rows(df.limit(0), "none")
+    wide = ingest.with_columns(df.select("id", "t"), T.StructType([T.StructField("t", T.StringType()), T.StructField("new", T.DateType())]))
+    assert wide.dtypes == [("t", "string"), ("new", "date")] and wide.count() == 25
+    inferred = ingest.read_inferred(spark, str(tmp_path / "c"))
+    assert len(inferred.columns) == 3

@@ -141,3 +141,13 @@ def test_masked_cells_come_back(spark):
     ids = [i for i, turn in hidden.items() if turn == 2 and not before[i].consumed_filled and before[i].consumed > 0]
     close = sum(abs(after[i].consumed / before[i].consumed - 1) < 0.25 for i in ids)
     assert len(ids) > 20 and close >= 0.95 * len(ids), (close, len(ids))
+
+
+def test_sheets_that_do_not_balance_are_found(spark):
+    """Closings that were raised by half are reported, and hardly any other sheet."""
+    rows, _, gaps = made(9)
+    rows = [r for r in rows[:-2] if not any((r[0], f) in gaps for f in ("consumed_stock", "item_id", "restaurant_id"))]
+    bad = {r[0] for r in rows[::25]}
+    rows = [(*r[:7], f"{float(r[7]) * 1.5:.2f}", *r[8:]) if r[0] in bad else r for r in rows]
+    got = {r.inventory_id for r in stock.unbalanced(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got & bad) >= 0.95 * len(bad) and len(got - bad) <= 0.02 * len(rows)
