@@ -8,7 +8,8 @@ still due; thresholds come from a histogram of all texts.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import strip
-from tessera.llm.tokens import VOCABULARY, Counter_
+from tessera.llm.tokens import VOCABULARY, Counter_, ranks_of
 from tessera.session import bounded, cut, spread
 
-# Frequent words that tell a language, and words in a court's name that tell what it deals with.
-STOP_WORDS = {"en": (" the ", " of ", " was "), "de": (" der ", " die ", " und "), "fr": (" le ", " la ", " est ")}
+# Words in a court's name that tell what it deals with.
 TOPICS = (
     ("employment", ("employment", "labour", "arbeitsgericht", "prud'hommes", "prud’hommes")),
     ("family", ("family", "familien", "familiales")),
@@ -50,24 +50,67 @@ def topic(c: str) -> Column:
     return out.otherwise(F.lit("civil"))
 
 
-def language(text: str | None, label: str | None) -> str:
-    """The language whose frequent words a text has most of; the label, in lower case, where a text has hardly any."""
-    seen = {k: sum(text.count(w) for w in words) for k, words in STOP_WORDS.items()} if text else {}
-    best = max(seen, key=seen.get) if seen else ""
-    if best and seen[best] >= 3:
-        return best
-    label = (label or "").strip().lower()
-    return label if label in STOP_WORDS else best if seen.get(best) else "unknown"
+#: Labelled documents that the language model is fitted on, those of least hashed id; frequent words of each language that it keeps.
+LANGUAGE_DOCUMENTS, LANGUAGE_WORDS = 900, 400
+
+
+@dataclass(frozen=True)
+class Languages:
+    """A naive Bayes model of languages over the distinct words of a text: names, and per word its ln probability in each."""
+
+    names: tuple[str, ...]
+    words: dict[str, tuple[float, ...]]
+
+    def __call__(self, text: str | None, label: str | None) -> str:
+        """The language of a text: its label, cleaned, unless that is missing, unknown or plainly contradicted; unknown if nothing tells."""
+        label = clean_label(label)
+        sums = [0.0] * len(self.names)
+        for w in set((text or "").lower().split()):
+            v = self.words.get(w)
+            if v:
+                sums = [a + b for a, b in zip(sums, v)]
+        if not any(sums):
+            return label or "unknown"
+        best = max(range(len(sums)), key=lambda k: (sums[k], self.names[k]))
+        if label in self.names and sums[best] - sums[self.names.index(label)] < CONTRADICTED:
+            return label
+        return self.names[best]
+
+
+#: By how much, in ln, another language must be likelier for a label not to be believed.
+CONTRADICTED = 10.0
+
+
+def clean_label(label: str | None) -> str | None:
+    """A language label in lower case without white space; null for null and blank."""
+    return (label or "").strip().lower() or None
+
+
+def fit_languages(documents: DataFrame, sample: int = LANGUAGE_DOCUMENTS) -> Languages:
+    """The model of a bounded sample of labelled documents. Labels that hold less than a fiftieth of the sample are taken for mistakes."""
+    rows = documents.where("doc_id is not null and text is not null and trim(lang) <> ''").select("doc_id", "lang", "text")
+    ids = [r.doc_id for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    got = rows.where(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).collect() if ids else []
+    seen: dict[str, Counter] = defaultdict(Counter)
+    for r in got:
+        seen[clean_label(r.lang)].update(set(r.text.lower().split()))
+    size = Counter(clean_label(r.lang) for r in got)
+    names = tuple(sorted(k for k, n in size.items() if n * 50 >= len(got)))
+    vocabulary = {w for k in names for w, _ in sorted(seen[k].items(), key=lambda x: (-x[1], x[0]))[:LANGUAGE_WORDS]}
+    return Languages(names, {w: tuple(math.log((seen[k][w] + 0.5) / (size[k] + 1.0)) for k in names) for w in vocabulary})
 
 
 def profiles(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per distinct text: doc_id (the least of its copies), source, lang, topic, n_tokens; the source is that doc_id's.
 
-    Rows without doc_id, and null and empty texts, are left out: they hold no tokens. Copies are found by a 128-bit digest.
+    Rows without doc_id, and null and empty texts, are left out: they hold no tokens. Copies are found by a 128-bit digest. The language
+    is that of the label, or of a model fitted on labelled documents where the label is missing or plainly wrong.
     """
+    held = documents.sparkSession.sparkContext.broadcast((ranks_of(vocabulary), fit_languages(documents)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = Counter_(vocabulary)
+        ranks, language = held.value
+        count = Counter_(ranks)
         for b in batches:
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "digest": b["digest"], "source": b["source"], "topic": b["topic"],

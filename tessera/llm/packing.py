@@ -1,6 +1,6 @@
 """Containers of fixed capacity filled with items of varying length: conflict-constrained best fit.
 
-Documents are spread over shards by hash and size, so that no task holds more than a set amount of tokens, and each shard is
+Rows are spread over shards by hash, of the row and not only its doc_id, so that shards hold about a set amount of tokens, and each shard is
 packed by best fit, longest first. Open packs are kept ordered by the room they have left; each carries the sources and the
 duplicate clusters it holds as sparse bitmaps. The search starts at the tightest pack that has room and goes on to the next until
 one is found in which no near-duplicate of the document lies; among equally tight ones it prefers one without the source.
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import VOCABULARY, Counter_
+from tessera.llm.tokens import VOCABULARY, Counter_, ranks_of
 from tessera.session import cut, spread
 
 #: Words of a shingle; bands and rows of the MinHash signature. Texts of similarity 0.8 share a band with probability 0.998.
@@ -64,9 +64,10 @@ class Signer:
 
 def profiles(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source, n_tokens, tags of every document. The text itself goes no further."""
+    held = documents.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, sign = Counter_(vocabulary), Signer()
+        count, sign = Counter_(held.value), Signer()
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [count(x) for x in b["text"]], "tags": [sign(x) for x in b["text"]]})
 
@@ -137,7 +138,8 @@ def packs(sized: DataFrame, capacities: DataFrame, shard_tokens: int = 4_000_000
 
     sized: doc_id, source, n_tokens, tags. capacities: pack_name, capacity_tokens (few rows; null or below 1 are ignored).
     Gives pack_name, pack_id, doc_id, piece_no (from 0), first_token, n_tokens. No document is cut unless it exceeds the capacity; a
-    cut one fills its own packs but for its last piece. No pack holds two texts that are near-duplicates. Texts without tokens
+    cut one fills its own packs but for its last piece. No pack holds two texts that share a MinHash band: near-duplicates of similarity 0.8 do so
+    with probability 0.998, and so do some less similar texts. Texts without tokens
     are items of size 0. Rows without doc_id are ignored; a repeated doc_id is packed as often as it occurs. shard_tokens bounds
     what one task packs, whatever the table's size; a shard leaves a few packs partly empty, far below a thousandth of its packs.
     """
@@ -145,7 +147,7 @@ def packs(sized: DataFrame, capacities: DataFrame, shard_tokens: int = 4_000_000
     total = sized.agg(F.sum(F.col("n_tokens") + 200)).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     sizes = capacities.where("pack_name is not null and capacity_tokens >= 1").select("pack_name", F.col("capacity_tokens").alias("capacity")).distinct()
-    rows = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int")).crossJoin(F.broadcast(sizes))  # a few sizes
+    rows = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")).crossJoin(F.broadcast(sizes))  # a few sizes
     return rows.groupBy("pack_name", "shard").applyInPandas(pack_shard, "pack_name string, pack_id string, doc_id bigint, piece_no int, first_token bigint, n_tokens bigint")
 
 

@@ -20,14 +20,18 @@ _QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 _UNSAFE = re.compile("[^\\t\\n\\r\\x0c -~\\xa0-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac\\u2116\\u2588\\u2026]")
 
 
+def ranks_of(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
+    """The vocabulary, read by the driver: it travels to the workers as a broadcast (about 50,000 short pieces), so they needn't have the file."""
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class Counter_:
     """Counts tokens; splits as the tokenizer does and remembers the size of each piece."""
 
-    def __init__(self, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         encode = self.encoding.encode_ordinary
 
@@ -52,9 +56,10 @@ def with_tokens(rows: DataFrame, keep: list[str], text: str = "text", vocabulary
     """The columns `keep`, and n_tokens: the text's size, 0 for null and empty texts. The text itself goes no further."""
     schema = rows.select(*keep).schema
     names = schema.fieldNames()
+    held = rows.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = Counter_(vocabulary)
+        count = Counter_(held.value)
         for batch in batches:
             yield batch[names].assign(n_tokens=[count(x) for x in batch[text]])
 

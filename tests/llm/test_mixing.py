@@ -1,5 +1,7 @@
 """Mixing: exact targets, limits kept, missing sources reported."""
 
+from pathlib import Path
+
 import random
 
 import pytest
@@ -48,12 +50,13 @@ def test_languages_keep_their_shares_where_repeats_allow(spark):
 
 
 def test_copies_of_a_text_count_once(spark):
+    labelled = [(100 + k, f"the one of here was text {k}", "en", "a", None) for k in range(40)] + [(200 + k, f"der und die Katze das {k}", "DE", "a", None) for k in range(40)]
     docs = spark.createDataFrame(
-        [(2, "one text here", "EN", "Registry", "Family Division"), (1, "one text here", None, "gazette ", None), (3, None, "en", "a", None), (4, "", "en", "a", None), (None, "x", "en", "a", None), (5, "der Hund und die Katze der und die", "en", "bar-bulletin", "Landgericht X")],
+        [(2, "one text here", "EN", "Registry", "Family Division"), (1, "one text here", None, "gazette ", None), (3, None, "en", "a", None), (4, "", "en", "a", None), (None, "x", "en", "a", None), (5, "der Hund und die Katze der und die", "en", "bar-bulletin", "Landgericht X"), (6, "qqq", None, "a", None), *labelled],
         "doc_id long, text string, lang string, source string, court string",
     )
-    got = {r.doc_id: (r.source, r.lang, r.topic) for r in mixing.profiles(docs).collect()}
-    assert got == {1: ("gazette", "unknown", "unknown"), 5: ("bar_bulletin", "de", "civil")}
+    got = {r.doc_id: (r.source, r.lang, r.topic) for r in mixing.profiles(docs).where("doc_id < 100").collect()}
+    assert got == {1: ("gazette", "en", "unknown"), 5: ("bar_bulletin", "de", "civil"), 6: ("a", "unknown", "unknown")}
 
 
 def test_empty(spark):
@@ -62,3 +65,21 @@ def test_empty(spark):
     assert mixing.selection(df, none).count() == 0
     assert mixing.selection(df.limit(0), spark.createDataFrame([("big", 0.5, 1)], TARGETS)).count() == 0
     assert [r.reached_share for r in mixing.reached(mixing.selection(df.limit(0), spark.createDataFrame([("big", 0.5, 1)], TARGETS)), spark.createDataFrame([("big", 0.5, 1)], TARGETS)).collect()] == [None]
+
+
+def test_languages_are_told_from_words(spark):
+    """The model is learnt from labelled documents; held-out ones come out right, labels that plainly lie are not believed."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("the test tables aren't here")
+    docs = spark.read.parquet(str(path))
+    model = mixing.fit_languages(docs, 300)
+    assert set(model.names) == {"de", "en", "fr"}
+    rest = [r for r in docs.where("n_chars > 400 and trim(lang) <> ''").collect()]
+    right = sum(model(r.text, None) == mixing.clean_label(r.lang) for r in rest)
+    assert right >= 0.95 * len(rest)  # some labels are wrong on purpose
+    text = next(r.text for r in rest if mixing.clean_label(r.lang) == model(r.text, None) == "de")
+    assert model(text, " DE ") == model(text, "en") == model(text, None) == model(text, "xx") == "de"
+    assert model("", "FR") == "fr" and model(None, None) == "unknown" and model("zzzz", None) == "unknown"
+    none = mixing.fit_languages(docs.limit(0))
+    assert none("the court", "en") == "en" and none("the court", None) == "unknown"

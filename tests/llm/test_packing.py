@@ -2,12 +2,13 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tessera.llm import packing
-from tessera.llm.tokens import Counter_
+from tessera.llm.tokens import Counter_, ranks_of
 
 SIZED = "doc_id long, source string, n_tokens long, tags array<long>, shard int, capacity int"
 SIZES = "pack_name string, capacity_tokens int"
@@ -89,8 +90,39 @@ def test_empty(spark):
 
 
 def test_token_counts_are_the_tokenizer_s():
-    count = Counter_()
+    count = Counter_(ranks_of())
     texts = ["", "Plain words, 12 of them.", "naïve café №5 „quoted“ – dash", "tabs\tand\n\nlines   spaces ", "日本語 text ②³ ½", "a" * 20_000, "x y z​", "Ünïcödé_underscore__ 'll don't", "█████ redacted"]
     for t in texts:
         assert count(t) == len(count.encoding.encode_ordinary(t)), t
     assert count(None) == 0
+
+
+def test_near_duplicates_of_the_corpus_share_a_band():
+    """All pairs of the test documents by exact five-word shingles: those of similarity 0.8 or more must share a band."""
+    import pandas as pd
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("the test tables aren't here")
+    texts = pd.read_parquet(path)["text"].dropna().drop_duplicates().tolist()
+    sign, sets, tags, holders = packing.Signer(), [], [], defaultdict(list)
+    for k, t in enumerate(texts):
+        words = t.lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+        tags.append(set(sign(t).tolist()))
+        for s in sets[-1]:
+            holders[s].append(k)
+    shared = defaultdict(int)
+    for ks in holders.values():
+        if len(ks) < 60:  # a phrase of every decision makes no pair similar by itself
+            for i, a in enumerate(ks):
+                for b in ks[i + 1 :]:
+                    shared[a, b] += 1
+    near = [(a, b) for a, b in shared if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 20 and sum(bool(tags[a] & tags[b]) for a, b in near) >= 0.98 * len(near)
+
+
+def test_copies_of_one_id_are_dealt_to_many_shards(spark):
+    df = spark.createDataFrame([(7, "a", 500, [], 0, 0)] * 400, SIZED)
+    out = packing.packs(df, spark.createDataFrame([("small", 512)], SIZES), 20_000).collect()
+    assert len(out) == 400 and len({r.pack_id.split("-")[0] for r in out}) > 3
