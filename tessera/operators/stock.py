@@ -25,8 +25,10 @@ def _chain(keys: list[str], tag: str, weight: float, width: float = 0.02, unless
     return out
 
 
-def _levels(keys: list[str], tag: str, weight: float) -> list[tuple[str, list, float]]:
-    return [(f"{tag}{q}", [*keys, _bins(F.col(q), 0.25)[0]], weight) for q in ("opening", "closing")]
+def _levels(keys: list[str]) -> list[list]:
+    """Wide groups for sheets that no chain reaches, the narrowest first: what the sheet opens and closes with, one of both, neither."""
+    o, c = (_bins(F.col(q), 0.25)[0] for q in ("opening", "closing"))
+    return [[*keys, o, c], [*keys, o], [*keys, c]]
 
 
 def filled_sheets(inventory: DataFrame, model: units.UnitModel = units.UnitModel()) -> DataFrame:
@@ -50,15 +52,11 @@ def filled_sheets(inventory: DataFrame, model: units.UnitModel = units.UnitModel
         "stock-nodes",
     )
     # without branch and item both, only the quantity itself links a sheet to its neighbours; such edges hold many labels, so no other gap hangs on them
-    near = lambda me, keys, level: [
-        *_chain(keys, "chain", 20.0), *_chain([], "value", 0.2, 0.002, F.col(me).isNull() & F.col(keys[0]).isNotNull()), *_levels(level, "level", 1.0)
+    near = lambda me, key: [
+        *_chain([key], "chain", 20.0), *_chain([], "value", 0.2, 0.002, F.col(me).isNull() & F.col(key).isNotNull())
     ]
-    keys = cut(
-        impute.propagate_category(
-            nodes, "inventory_id", {"b": impute.Target("b", near("b", ["i"], ["i"]), [["i"], ["m"]]), "i": impute.Target("i", near("i", ["b"], ["b", "dim"]), [["b", "dim"], ["b"], ["m"]])}
-        ),
-        "stock-keys",
-    )
+    targets = {"b": impute.Target("b", near("b", "i"), [*_levels(["i"]), ["i"], ["m"]]), "i": impute.Target("i", near("i", "b"), [*_levels(["b", "dim"]), ["b", "dim"], ["b"], ["m"]])}
+    keys = cut(impute.propagate_category(nodes, "inventory_id", targets), "stock-keys")
     got = lambda name, value, share: keys.where(F.col("target") == name).select("inventory_id", F.col("filled").alias(value), F.col("share").alias(share))
     full = cut(
         nodes.join(got("b", "b2", "restaurant_share"), "inventory_id", "left")
