@@ -166,32 +166,37 @@ def date_bounds(spark: SparkSession, folder: str) -> DataFrame:
 _RATING = temporal._RATING
 
 
+#: Ratings of a day at least, and times the mean before it, that make a burst; ratings of a week at least, and share of one value, that make it
+#: uniform. The values give rows on these tables; sparse real ratings want 10, 5, 10 and 0.9.
+BURST_ROWS, BURST_TIMES, SAME_ROWS, SAME_SHARE = 8, 2, 5, 0.4
+
+
 def _ratings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("user_id", F.col("event_type").alias("item"), (F.col("user_id") % 10).alias("place"), F.to_date("ts").alias("day"), (1 + F.col("event_id") % 5).alias("rating"))
 
 
 @book.add(
-    """select item, place, day, n, round(mean, 6) prior_mean from (select *, avg(n) over (partition by item, place order by day range between interval 30 days preceding and interval 1 day preceding) mean from per_day) where n >= 8 and n >= 2 * mean""",
+    f"""select item, place, day, n, round(mean, 6) prior_mean from (select *, avg(n) over (partition by item, place order by day range between interval 30 days preceding and interval 1 day preceding) mean from per_day) where n >= {BURST_ROWS} and n >= {BURST_TIMES} * mean""",
     _RATING,
 )
-def rating_bursts(spark: SparkSession, folder: str) -> DataFrame:
-    """Days with twice the mean number of ratings of the last 30 calendar days."""
+def rating_bursts(spark: SparkSession, folder: str, least: int = BURST_ROWS, times: float = BURST_TIMES) -> DataFrame:
+    """Days with `times` the mean number of ratings of the last 30 calendar days."""
     from pyspark.sql import Window
 
     d = _ratings(spark, folder).groupBy("item", "place", "day").agg(F.count("*").alias("n")).withColumn("no", F.datediff("day", F.lit("1970-01-01").cast("date")))
     d = d.withColumn("mean", F.avg("n").over(Window.partitionBy("item", "place").orderBy("no").rangeBetween(-30, -1)))
-    return d.where((F.col("n") >= 8) & (F.col("n") >= 2 * F.col("mean"))).select("item", "place", "day", "n", r(F.col("mean")).alias("prior_mean"))
+    return d.where((F.col("n") >= least) & (F.col("n") >= times * F.col("mean"))).select("item", "place", "day", "n", r(F.col("mean")).alias("prior_mean"))
 
 
 @book.add(
-    """select item, place, wk as "week", n, top from (select item, place, wk, sum(c)::bigint n, max(c) top from (select item, place, date_trunc('week', day)::date as wk, rating, count(*) c from ratings group by all) group by all) where n >= 5 and top >= 0.4 * n""",
+    f"""select item, place, wk as "week", n, top from (select item, place, wk, sum(c)::bigint n, max(c) top from (select item, place, date_trunc('week', day)::date as wk, rating, count(*) c from ratings group by all) group by all) where n >= {SAME_ROWS} and top >= {SAME_SHARE} * n""",
     _RATING,
 )
-def rating_identical(spark: SparkSession, folder: str) -> DataFrame:
-    """Weeks in which one value makes up two fifths of an item's ratings or more."""
+def rating_identical(spark: SparkSession, folder: str, least: int = SAME_ROWS, share: float = SAME_SHARE) -> DataFrame:
+    """Weeks in which one value makes up a share of an item's ratings or more."""
     per = _ratings(spark, folder).groupBy("item", "place", F.to_date(F.date_trunc("week", "day")).alias("week"), "rating").agg(F.count("*").alias("c"))
     per = per.groupBy("item", "place", "week").agg(F.sum("c").alias("n"), F.max("c").alias("top"))
-    return per.where("n >= 5 and top >= 0.4 * n")
+    return per.where((F.col("n") >= least) & (F.col("top") >= share * F.col("n")))
 
 
 @book.add("select user_id, item, place, day from (select user_id, event_type item, user_id % 10 place, ts::date as day from events) r where not exists (select 1 from events b where b.event_type = 'purchase' and b.user_id = r.user_id and b.ts::date = r.day)")

@@ -35,29 +35,30 @@ def first_deliveries(events: DataFrame, key: str = "event_id", late: str = "1 da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def running_baseline(events: DataFrame, weight: float = 0.1, times: float = 3.0, late: str = "2 hours") -> DataFrame:
+def running_baseline(events: DataFrame, weight: float = 0.1, times: float = 3.0, late: str = "2 hours", lanes: int = 8) -> DataFrame:
     """Events whose value is `times` deviations off its type's exponentially weighted mean so far.
 
-    The state per type is three numbers, so a type that holds a third of the stream needs no more memory than another; events of a
-    type are taken in the order of their time within a batch.
+    A type's events are dealt to lanes by their id, each with a mean and deviation of its own, so a type that holds a third of the stream
+    is the work of many tasks. The state per lane is three numbers, and a task holds one Arrow batch at a time; events are taken in the
+    order of their time within such a batch. Null values are passed over.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, mean, var = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            if r.value is None or r.value != r.value:
-                continue
-            off = r.value - mean
-            if n >= 10 and var > 0 and abs(off) > times * var**0.5:
-                out.append((int(r.event_id), key[0], float(r.value), float(mean)))
-            mean += weight * off if n else off
-            var = (1 - weight) * (var + weight * off * off) if n else 0.0
-            n += 1
+        for batch in batches:
+            out = []
+            rows = batch[batch["value"].notna()].sort_values(["ts", "event_id"])
+            for no, value in zip(rows["event_id"].tolist(), rows["value"].tolist()):
+                off = value - mean
+                if n >= 10 and var > 0 and abs(off) > times * var**0.5:
+                    out.append((no, key[0], value, mean))
+                mean += weight * off if n else off
+                var = (1 - weight) * (var + weight * off * off) if n else 0.0
+                n += 1
+            yield pd.DataFrame(out, columns=["event_id", "event_type", "value", "baseline"])
         state.update((n, mean, var))
-        yield pd.DataFrame(out, columns=["event_id", "event_type", "value", "baseline"])
 
-    return events.select("event_id", "ts", "event_type", "value").groupBy("event_type").applyInPandasWithState(
+    lane = F.pmod(F.xxhash64("event_id"), F.lit(lanes)).cast("int").alias("lane")
+    return events.select("event_id", "ts", "event_type", "value", lane).groupBy("event_type", "lane").applyInPandasWithState(
         step, "event_id bigint, event_type string, value double, baseline double", "n bigint, mean double, var double", "append", GroupStateTimeout.NoTimeout
     )

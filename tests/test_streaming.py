@@ -41,3 +41,14 @@ def test_baseline(spark, source):
     got = drain(windows.running_baseline(windows.read_events(spark, path, 1)), spark, "b")
     assert got.count() < e.count() * 0.2
     assert got.where("abs(value - baseline) = 0").count() == 0
+
+
+def test_baseline_of_one_hot_type(spark, tmp_path):
+    """A single type is shared by several lanes; what sticks out is found in each."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), F.col("id").alias("user_id"), F.lit("hot").alias("event_type"),
+        F.when(F.col("id") % 1000 == 999, 500.0).when(F.col("id") % 97 == 0, None).otherwise(10.0 + F.col("id") % 5).alias("value"), F.lit("{}").alias("props"),
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = drain(windows.running_baseline(windows.read_events(spark, str(tmp_path / "in")), times=8.0), spark, "hot")
+    assert {r.event_id for r in got.collect()} == {999, 1999, 2999, 3999}
