@@ -190,7 +190,6 @@ def item_location_share(spark: SparkSession, folder: str) -> DataFrame:
     return per.join(whole, "location").select("item_id", "location", money(F.col("t")).alias("revenue"), r(ratio("t", "all", 100)).alias("share_pct"))
 
 
-_PR = "percent_rank() over (order by {0} asc nulls first)"
 _CLASS = """
 scored as (
   select item_id, t / 10000.0 margin_base, p, units, n_orders, wasted2 / nullif(prepared, 0)::double wastage,

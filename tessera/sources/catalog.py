@@ -43,9 +43,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table `name` of a folder of Parquet tables. Only columns that the plan uses are read."""
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def register(spark: SparkSession, folder: str, names: list[str], prefix: str = "") -> None:
-    """Registers the tables as temporary views, for SQL."""
-    for n in names:
-        table(spark, folder, n).createOrReplaceTempView(prefix + n)
