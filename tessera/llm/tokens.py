@@ -4,11 +4,6 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: The vocabulary used by problems 6 and 7: byte-level BPE for many languages.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -50,17 +45,3 @@ class Counter_:
         if _UNSAFE.search(text):
             return len(self.encoding.encode_ordinary(text))
         return sum(map(self.sizes.__getitem__, _QUICK.findall(text)))
-
-
-def with_tokens(rows: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns `keep`, and n_tokens: the text's size, 0 for null and empty texts. The text itself goes no further."""
-    schema = rows.select(*keep).schema
-    names = schema.fieldNames()
-    held = rows.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = Counter_(held.value)
-        for batch in batches:
-            yield batch[names].assign(n_tokens=[count(x) for x in batch[text]])
-
-    return rows.select(*keep, F.col(text)).mapInPandas(run, schema.add("n_tokens", "long", False))
