@@ -121,6 +121,20 @@ def test_gaps_without_edges_take_the_commonest_label_of_their_group(spark):
     assert {r.id: (r.filled, r.share) for r in out.collect()} == {4: ("b", 0.0), 5: ("b", 0.0), 7: ("b", 0.0)}
 
 
+def test_more_wide_groups_do_not_make_a_larger_plan(spark):
+    rows = [("a", "X", "g", "h", None), ("b", "X", "g", None, None), ("c", "Y", "g", "h", "s"), ("d", "Z", None, "h", "s"), ("e", "Z", None, "h", "s"), ("m", None, "g", "h", None), ("n", None, "q", "h", None), ("o", None, None, None, "s"), ("p", None, "q", "q", "q")]
+    df = spark.createDataFrame(rows, "id string, k string, g string, h string, s string")
+    fill = lambda *wide: impute.propagate_category(df, "id", {t: impute.Target("k", [("own", ["id"], 1.0)], [[c] for c in wide]) for t in ("k", "again")})
+    narrow, wide = fill("g"), fill("g", "h", "s")
+    for target in ("k", "again"):
+        mine = F.col("target") == target
+        # g tells X of m; n has no g that is known and takes Z from h; o takes Z from s; p takes the table's commonest, of X and Z the greater
+        assert {r.id: (r.filled, r.share) for r in wide.where(mine).collect()} == {"m": ("X", 0.0), "n": ("Z", 0.0), "o": ("Z", 0.0), "p": ("Z", 0.0)}
+        assert {r.id: r.filled for r in narrow.where(mine).collect()} == {"m": "X", "n": "Z", "o": "Z", "p": "Z"}
+    joins = lambda out: out._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins(narrow) == joins(wide)
+
+
 def test_masked_cells_come_back(spark):
     """One sheet in twenty of the test tables loses an observed cell; what comes back must be what was there."""
     path = "/root/testdata/sf0.01/inventory.parquet"
