@@ -44,16 +44,24 @@ STOP_WORDS = {"en": (" the ", " of ", " was "), "de": (" der ", " die ", " und "
 MAX_PARTS = 8
 
 _CAPS = "A-ZÀ-ÖØ-ÞŒ"
+#: A class's part that holds all digits and what else is far from ASCII: searched several times faster than \d.
+DIGITS = "0-9٠-\U0010ffff"
 _LETTER = r"[^\W\d_]"
-_WORD = rf"[{_CAPS}](?:{_LETTER}|['’‑-](?={_LETTER}))*(?![\w█])"
+# what follows a word's capital: the usual letters in one leap each; backtracking could only drop whole parts after an apostrophe or hyphen
+_REST = rf"[a-zß-öø-ÿ]*+{_LETTER}*+(?:['’‑-]{_LETTER}++(?:['’‑-]{_LETTER}++)*|)(?![\w█])"
+_WORD = rf"[{_CAPS}]{_REST}"
 _GOES_ON = rf"(?=[ ‑-]?[{_CAPS}]| (?:de|du|von|van|zu|d['’]))"
 _SHORT = rf"(?:[{_CAPS}]|Mr|Mrs|Ms|Dr|Prof|St|Messrs|Hr|Hrn|Fr|Me|Mme|Mlle|MM)\.{_GOES_ON}"
 _PART = r"de la|de|du|des|von der|von den|von|vom|van der|van den|van|zu|di|da|del|della|dos|bin|ben"
 #: Legal forms that are written small, or that go on with another word: they close a run.
 _FORM = r"(?:plc|llp|ltd|inc|co|sarl|sas|sa|e\.K|et Cie|et Fils|et Associés)(?!\w)|& [A-ZÀ-Þ]\w*"
 _ELEMENT = re.compile(rf"{_SHORT}|{_WORD}|(?<= )(?:{_FORM})")
-# the first word's capital comes first, so that the search leaps from capital to capital
-RUN = re.compile(rf"[{_CAPS}](?<![\w█‑-].)(?:(?:rs?|s|rof|t|essrs|rn?|me|e|lle|M)?\.{_GOES_ON}|(?:{_LETTER}|['’‑-](?={_LETTER}))*(?![\w█]))(?:(?: (?:(?:{_PART}) )?(?:d['’])?|, |[‑-]?)(?:{_SHORT}|{_WORD}))*(?: (?:{_FORM}))*")
+_NEXT = rf"(?:{_SHORT}|{_WORD})"
+# the first word's capital comes first, so that the search leaps from capital to capital; every alternative is told by its first characters
+RUN = re.compile(
+    rf"[{_CAPS}](?<![\w█‑-].)(?:(?:rs?|s|rof|t|essrs|rn?|me|e|lle|M|)\.{_GOES_ON}|{_REST})"
+    rf"(?: (?:{_NEXT}|(?:(?:{_PART}) (?:d['’]|)|d['’]){_NEXT})|, {_NEXT}|[‑-]?{_NEXT})*(?: (?:{_FORM}))*"
+)
 _POSSESSIVE = re.compile(r"['’][sS]$")
 _PARTICLE_GAP = re.compile(rf" (?:(?:{_PART}) (?:d['’])?|d['’])$")
 #: Last words of particles, in lower case.
@@ -68,7 +76,8 @@ def is_firm(low: str) -> bool:
 
 def collapse(text: str) -> str:
     """The text with each run of white space as one space; paragraphs (after blank lines) stay apart by a newline."""
-    return "\n".join([" ".join(p.split()) for p in text.replace("\r\n", "\n").split("\n\n")])
+    # of white space only the blank is printable
+    return "\n".join([p if p.isprintable() and "  " not in p and p[:1] != " " and p[-1:] != " " else " ".join(p.split()) for p in text.replace("\r\n", "\n").split("\n\n")])
 
 
 def tongue(t: str) -> str:
@@ -144,7 +153,7 @@ _STREETS = set(STREETS_EN.split("|"))
 _STRONG_TITLES = {"Mr", "Mrs", "Ms", "Dr", "Prof", "Sir", "Herr", "Herrn", "Frau", "Mme", "Madame", "Monsieur"}
 KNOWN_CODE = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|[A-Z]{2} \d{5}|\d{5}(?![ ‑-]?\d))"
 CAPITALISED = r"[A-ZÀ-Þ][^\W\d_]*[a-zà-þ](?:['’\-][^\W\d_]+)*(?!\w)"
-_CODE = re.compile(r"\d(?<!\d\d)(?:\d{4}(?!\d)|[A-Z]{2}\b)")
+_CODE = re.compile(rf"[{DIGITS}](?<=\d)(?<!\d\d)" r"(?:\d{4}(?!\d)|[A-Z]{2}\b)")
 _TOWN_AFTER = re.compile(rf" ({CAPITALISED}(?:[ -](?:{CAPITALISED}|le-{CAPITALISED}))?)")
 _TOWN_BEFORE = re.compile(rf", ({CAPITALISED}(?: {CAPITALISED})?),? (?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]? |[A-Z]{{2}} )?$")
 _VERSUS = re.compile(r" (?:v\.?|gegen|c/) (?=[A-ZÀ-Þ])")
@@ -193,13 +202,13 @@ class _Tally:
 
     def rows(self) -> list[tuple[str, str, str, int]]:
         """The counts so far; counting starts anew."""
-        out = self.rest
+        out, caps, lower = self.rest, Counter(), Counter()
         for token, n in self.tokens.items():
-            for m in _CAP.finditer(token):
-                out["caps", _bare(m.group()).lower(), ""] += n
+            for w in _CAP.findall(token):
+                caps[(w[:-2] if w[-2:] in _OWNED else w).lower()] += n
             if "@" not in token and "." not in token.strip(".,;:()[]"):
                 for w in _LOWER.findall(token):
-                    out["lower", w, ""] += n
+                    lower[w] += n
             m = _STREET_END.match(token)
             if m:
                 out["street", m.group(), ""] += n
@@ -218,7 +227,7 @@ class _Tally:
                 if last and (first in _STRONG_TITLES or first in self.listed) and len(second) > 3 and not second.isupper() and low not in self.low and not is_firm(low):
                     out["titled", low, ""] += n
         self.tokens, self.runs, self.rest = Counter(), Counter(), Counter()
-        return [(*k, n) for k, n in out.items()]
+        return [*[("caps", w, "", n) for w, n in caps.items()], *[("lower", w, "", n) for w, n in lower.items()], *[(*k, n) for k, n in out.items()]]
 
 
 def build_lexicon(documents: DataFrame, given_names: list[str], least: int = 3) -> Lexicon:
@@ -284,7 +293,10 @@ def build_lexicon(documents: DataFrame, given_names: list[str], least: int = 3)
 
 @dataclass(slots=True)
 class Piece:
-    """A part of a run: characters [start, end) of the run, its classes, what its features are but for its surroundings, and whether it touches the run's ends."""
+    """A part of a run: characters [start, end) of the run, its classes, what its features are but for its surroundings, whether it touches the run's ends, and its first and last element.
+
+    With a model's scores, runs of one signature share their pieces: places and last words are then those of the elements.
+    """
 
     start: int
     end: int
@@ -295,11 +307,14 @@ class Piece:
     first: bool
     final: bool
     lead: str = ""
+    opens: int = 0
+    closes: int = 0
     score: float = 0.0
     tables: tuple = ()
+    top: float = 0.0
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Reading:
     """A run taken apart: its pieces, the names it introduces (with a title or given name), its words before a firm's form, and ends of German street words."""
 
@@ -310,32 +325,52 @@ class Reading:
     led: list[Piece] = field(default_factory=list)
     top: float = -99.0
     alone: bool = False
-    idle: bool = False
+    busy: bool = False
     lasts: set[str] = field(default_factory=set)
+    el: list[tuple] = field(default_factory=list)
 
 
 _TOLD = set("cFACRMTtD")
 
 
-def read_run(run: str, lang: str, lex: Lexicon, unknown=None) -> Reading:
-    """Takes a run apart. unknown(word, class) says which words are to be taken for ones that the corpus never had (in training)."""
-    el = []
+def take_apart(run: str, lang: str, lex: Lexicon, unknown=None) -> tuple[list[tuple], list[str]]:
+    """A run's elements, and by element how it is joined to the one before. unknown: as in `read_run`."""
+    el, at = [], 0
     for m in _ELEMENT.finditer(run):
         w = m.group().rstrip(".")
         s, e = m.span()
         # "M." opens a French name, but is an initial within one
         k = "T" if w == "M" and lang == "fr" and run[s + 1 : s + 3] == ". " and (not el or run[s - 2 : s] == ", ") else lex.kind(w)
-        hidden = unknown is not None and k in "GSEctu" and unknown(_bare(w).lower(), k)
-        poss = bool(_POSSESSIVE.search(w)) and e - s > 3
-        gap = run[el[-1][5] : s] if el else ""
-        el.append((s, e - 2 if poss else e, _bare(w).lower(), "u" if hidden else k, hidden, e, w, gap, poss))
+        owned = w[-2:] in _OWNED
+        low = (w[:-2] if owned else w).lower()
+        hidden = unknown is not None and k in "GSEctu" and unknown(low, k)
+        poss = owned and e - s > 3
+        el.append((s, e - 2 if poss else e, low, "u" if hidden else k, hidden, e, w, run[at:s] if el else "", poss))
+        at = e
+    return el, ["," if x[7] == ", " else "" if x[7] in ("", " ") else "p" if _PARTICLE_GAP.fullmatch(x[7]) else "" for x in el]
+
+
+_OWNED = {"'s", "'S", "’s", "’S"}
+
+
+def signature(lang: str, el: list[tuple]) -> tuple:
+    """All that a run's pieces take from its elements but for their places and last words: runs that share it have the same pieces and features."""
+    return (lang, *[(k, low if k in _TOLD else low[-4:] if k in "SEu" else "", len(w) > 3 and w.isupper(), len(w) < 2, len(w) < end - s, gap, poss) for s, _, low, k, _, end, w, gap, poss in el])
+
+
+def read_run(run: str, lang: str, lex: Lexicon, unknown=None) -> Reading:
+    """Takes a run apart. unknown(word, class) says which words are to be taken for ones that the corpus never had (in training)."""
+    el, gaps = take_apart(run, lang, lex, unknown)
+    return reading_of(el, gaps, pieces_of(lang, el, gaps))
+
+
+def pieces_of(lang: str, el: list[tuple], gaps: list[str]) -> list[Piece]:
+    """All parts of a run's elements that may be names, with their features."""
     n = len(el)
-    gaps = ["," if x[7] == ", " else "p" if _PARTICLE_GAP.fullmatch(x[7]) else "" for x in el]
-    firm = [False] * (n + 1)
+    firm = firm_ahead(el, gaps)
     law, street = [False] * (n + 1), [False] * (n + 1)
     for j in reversed(range(n)):
         open_ = j + 1 < n and gaps[j + 1] != "," and not el[j][8]
-        firm[j] = el[j][3] == "F" or (open_ and firm[j + 1])
         law[j] = el[j][3] == "A" or (open_ and law[j + 1])
         street[j] = el[j][3] in "RD" or (open_ and street[j + 1])
     pieces: list[Piece] = []
@@ -352,7 +387,7 @@ def read_run(run: str, lang: str, lex: Lexicon, unknown=None) -> Reading:
                         break
                 seq += gaps[j]
             seq += k
-            if len(w) < 2 or (k == "T" and w != run[s:end]):  # a name doesn't end with an initial or an abbreviated title
+            if len(w) < 2 or (k == "T" and len(w) < end - s):  # a name doesn't end with an initial or an abbreviated title
                 continue
             f = [f"n:{lang}:{j - i + 1}", "n:last=" + k, "n:first=" + el[i][3], "n:case=" + ("U" if len(w) > 3 and w.isupper() else "m") + k]
             if not hidden and k in "SEu":
@@ -376,7 +411,22 @@ def read_run(run: str, lang: str, lex: Lexicon, unknown=None) -> Reading:
                 if lead:
                     more.append("n:lead=" + lead)
                 start = el[i - 1][5] + 1 if lead else el[i][0]
-                pieces.append(Piece(start, e, whole, low, j - i + 1, f + more, i == 0, j + 1 == n, lead))
+                pieces.append(Piece(start, e, whole, low, j - i + 1, f + more, i == 0, j + 1 == n, lead, i, j))
+    return pieces
+
+
+def firm_ahead(el: list[tuple], gaps: list[str]) -> list[bool]:
+    """By element, whether a firm's form is it or follows it with no comma between."""
+    n = len(el)
+    firm = [False] * (n + 1)
+    for j in reversed(range(n)):
+        firm[j] = el[j][3] == "F" or (j + 1 < n and gaps[j + 1] != "," and not el[j][8] and firm[j + 1])
+    return firm
+
+
+def reading_of(el: list[tuple], gaps: list[str], pieces: list[Piece]) -> Reading:
+    """What a run with these elements and pieces tells."""
+    n, firm = len(el), firm_ahead(el, gaps)
     introduces, firms = [], []
     for i in range(n):
         if el[i][3] in "TGI" and not firm[i]:
@@ -390,7 +440,8 @@ def read_run(run: str, lang: str, lex: Lexicon, unknown=None) -> Reading:
             while j >= 0 and gaps[j + 1] != "," and not el[j][8]:
                 firms.append(el[j][2])
                 j -= 1
-    return Reading(pieces, introduces, firms, [(x[0], x[1]) for x in el if x[3] == "D" or (x[2].endswith(STREETS_DE) and len(x[2]) > 5)])
+    streets = [(x[0], x[1]) for x in el if x[3] == "D" or (x[2].endswith(STREETS_DE) and len(x[2]) > 5)]
+    return Reading(pieces, introduces, firms, streets, busy=bool(introduces or firms or streets), el=el)
 
 
 _BEFORE_CLASS = {"(": "(", '"': "(", "“": "(", "„": "(", "«": "(", "[": "("}
@@ -443,7 +494,9 @@ def left_chunk(t: str, at: int) -> str:
     """What `before` reads: the word before a place, at most 40 characters of it."""
     if not at or t[at - 1] == "\n":
         return ""
-    k = max(t.rfind(" ", 0, at - 1), t.rfind("\n", 0, at - 1)) + 1
+    low = max(0, at - 41)
+    k = t.rfind(" ", low, at - 1) + 1 or low
+    k = t.rfind("\n", k, at - 1) + 1 or k
     return t[max(k, at - 40) : at]
 
 
@@ -451,10 +504,10 @@ def right_chunk(t: str, at: int) -> str:
     """What `after` reads."""
     if at >= len(t) or t[at] == "\n":
         return ""
-    k = t.find(" ", at + 1)
-    k = len(t) if k < 0 else k
-    line = t.find("\n", at, min(k, at + 40))
-    return t[at : min(k, at + 40, line if line >= 0 else k)]
+    k = t.find(" ", at + 1, at + 40)
+    k = at + 40 if k < 0 else k
+    line = t.find("\n", at, k)
+    return t[at : k if line < 0 else line]
 
 
 # A reporter, a year in brackets or a volume and page: what follows the sides of a cited case.

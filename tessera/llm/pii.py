@@ -11,12 +11,16 @@ Decoding covers every character of every document.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import lru_cache, partial
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -45,10 +49,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:(?:\.| ?[\[({] ?(?:dot|DOT|Dot|point|POI
 _D = r"[ .\-‑–]"
 _SPELLED = re.compile(r"(?<![\w.+\-])[\w.+\-]+ (?:at|AT|arobase|ät) [\w\-]+(?: (?:dot|DOT|punkt|PUNKT|point) [\w\-]+)+")
 _SPELLED_DOTS, _SPELLED_ATS = (" dot ", " DOT ", " punkt ", " PUNKT ", " point "), (" at ", " AT ", " arobase ", " ät ")
+_SPELLED_ENDS = tuple(x.rstrip() for x in _SPELLED_ATS)
 _SPELLED_HOST = re.compile(r" (?:at|AT|arobase|ät) [\w\-]+ (?:dot|DOT|punkt|PUNKT|point) ")
 _SEVEN = re.compile(r"(?:\D*\d){7}")
 #: Where numbers are: at least five digits, with at most four signs and capitals between two of them.
-_RUN = re.compile(r"(?:[+(]\d|\d(?<!\d\d))(?:[A-Z()/ .\-‑–]{0,4}\d){4,}\w?")
+_RUN = re.compile(rf"[+({names.DIGITS}](?:" r"(?<=[+(])\d|(?<=\d)(?<!\d\d))(?:[A-Z()/ .\-‑–]{0,4}\d){4,}\w?")
 _PHONE = re.compile(
     r"(?<![\w+/(\-‑.,])(?:"
     rf"\+\d{{1,3}} ?(?:\(0\) ?)?\(?\d{{1,4}}\)?(?:[ .\-‑/]?\d{{2,5}}){{1,5}}"
@@ -67,6 +72,11 @@ _PHONE = re.compile(
     r")(?:,? ?(?:ext\.?|extension|x|poste|Durchwahl|App\.|Nebenstelle) ?\d{1,5})?(?![\w█]|[\-‑/.,]\w|[\-‑ ]?(?:█|[Xx]{2}))"
 )
 _ANNOUNCED = re.compile(rf"(?:{ANNOUNCERS})(?:[,\-‑]? ?(?:card|number|permit|ref\.?|reference|no\.|No\.|n°|nº|N°|Nr\.|Nummer|numéro|ID))*:? ?((?:[A-Z]{{1,3}}[ \-‑]?)?)$")
+#: Of every announcer a part, in lower case.
+_ANNOUNCER_PARTS = (
+    *("passport", "passeport", "reisepass", "resident ", "citizen card", "identity ", "id card", "tax", "tin", "national ", "ni ", "social ", "ssn", "nino", "driv", "licen", "ausweis", "steuer"),
+    *("sozialv", "versicherungsn", "führerschein", "aufenthalts", "carte d", "titre de", "permis de", "fiscal", "sécurité", "nir", "nif"),
+)
 #: What stands directly before an announced number.
 _ANNOUNCE_ENDS = {
     *("passport", "Passport", "PASSPORT", "passeport", "Passeport", "Reisepass", "Personalausweis", "ID", "ID:", "card", "card:", "permit", "number", "number:", "no.", "No.", "no.:", "Nr.", "Nr.:", "n°", "nº", "N°", "n°:", "Nummer"),
@@ -78,7 +88,7 @@ _CAPW = r"[A-ZÀ-Þ][\w.'’\-]*"
 _CAPT = names.CAPITALISED
 _UNIT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite) \w{1,5}"
 _STREET = re.compile(
-    r"\d(?<![\w.,/‑-]\d)\d{0,4}(?: (?:bis|ter|quater)|[A-Za-z])?,? (?:"
+    rf"[{names.DIGITS}](?<![\w.,/‑-].)(?<=\d)" r"\d{0,4}(?: (?:bis|ter|quater)|[A-Za-z])?,? (?:"
     rf"(?:{_CAPW} ){{1,3}}(?:{names.STREETS_EN})\b\.?(?:, {_UNIT})?"
     rf"|(?:{STREETS_FR}) (?:(?:de la|de l['’]|du|des|de|d['’]|l['’]|la|le|les|en|sur|lez|aux|au|à) ?)*{_CAPW}(?:(?: (?:de la|de l['’]|du|des|de|d['’]))? ?{_CAPW})*"
     r")"
@@ -116,9 +126,14 @@ def _after(t: str, at: int) -> str:
     return m.group(1).lower() if m else "$"
 
 
+@lru_cache(50_000)
+def _town_words(tail: str) -> str:
+    return re.sub(r"^[ ,]*(?:D-|F-|CH-)?\d*\s*|,? [A-Z]{0,2}\d[\w ]*$|,? [A-Z]{2} \d{5}$", "", tail).strip(" ,")
+
+
 def _town(tail: str, lex: Lexicon) -> str:
     """How an address ends: known (a known town), new (another capitalised word), code (only a post code)."""
-    words = re.sub(r"^[ ,]*(?:D-|F-|CH-)?\d*\s*|,? [A-Z]{0,2}\d[\w ]*$|,? [A-Z]{2} \d{5}$", "", tail).strip(" ,")
+    words = _town_words(tail)
     return "known" if words in lex.towns else "code" if not words else "new"
 
 
@@ -129,6 +144,7 @@ def _kind_of(word: str) -> str:
     return re.sub(r"[\d9]+", "9", word)[:12] if any(c.isdigit() for c in word) else word
 
 
+@lru_cache(50_000)
 def _shape(s: str) -> str:
     return re.sub(r"(\D)\1+", r"\1", re.sub(r"\d+", lambda m: str(min(len(m.group()), 9)), re.sub(r"[A-Za-z]+", "a", s)))[:24]
 
@@ -165,6 +181,16 @@ def _ats(t: str) -> Iterator[re.Match]:
             yield m
 
 
+def _spells(t: str) -> bool:
+    """Whether a word for a dot follows a host and a word for @, as in every address that _SPELLED finds."""
+    for word in _SPELLED_DOTS:
+        for at in _finds(t, word) if word in t else ():
+            host = t.rfind(" ", 0, at)
+            if t.endswith(_SPELLED_ENDS, 0, max(0, host)):
+                return True
+    return False
+
+
 def _spelled(t: str) -> Iterator[re.Match]:
     """What _SPELLED finds in a text, tried only where a word for @ stands between a blank and a host."""
     end = 0
@@ -191,11 +217,17 @@ def _emails(t: str, add) -> None:
             start += 1
         if b and start < stop and t[start - 1 : start] != "█" and t[b.end() : b.end() + 1] not in ("█", "@"):
             add(Span(start, b.end(), "email", ["email", "email:at=" + m.group().lower(), "email:<" + _before(t, start)]))
-    if any(word in t for word in _SPELLED_DOTS):
+    if _spells(t):
         for m in _spelled(t):
             add(Span(m.start(), m.end(), "email", ["email", "email:at=word", "email:<" + _before(t, m.start())]))
 
 
+def _announced(t: str, at: int) -> re.Match | None:
+    """What announces the number at a place. Parts of the announcers are looked for first, since plain finds take a fraction of the pattern's time."""
+    ahead = t[max(0, at - 64) : at].lower()
+    return _ANNOUNCED.search(t, max(0, at - 64), at) if any(map(ahead.__contains__, _ANNOUNCER_PARTS)) else None
+
+
 def _numbers(t: str, add) -> None:
     for run in _RUN.finditer(t):
         s0, e0 = run.span()
@@ -204,14 +236,15 @@ def _numbers(t: str, add) -> None:
                 s, e = m.span()
                 if s >= e0:
                     break
-                digits = sum(c.isdigit() for c in m.group())
+                digits = sum(map(str.isdigit, m.group()))
                 if digits < 7 or (m.lastgroup == "other" and digits > 13):
                     continue
                 kind = "phone:other" if m.lastgroup == "other" else "phone:known"
                 add(Span(s, e, "phone", ["phone", kind, "phone:" + _shape(m.group()), "phone:<" + _kind_of(_before(t, s)), "phone:>" + _kind_of(_after(t, e)), "phone:lead=" + m.group()[:2], f"phone:d={digits}"]))
         word = t[max(0, s0 - 26) : s0].rstrip().rsplit(" ", 1)[-1]
         word = word.rstrip("-‑") if len(word) <= 4 else word
-        lead = _ANNOUNCED.search(t, max(0, s0 - 64), s0) if word in _ANNOUNCE_ENDS or (len(word) <= 3 and word.isalpha() and word.isupper()) or word[:6] in _ANNOUNCE_STEMS else None
+        announced = word in _ANNOUNCE_ENDS or (len(word) <= 3 and word.isalpha() and word.isupper()) or word[:6] in _ANNOUNCE_STEMS
+        lead = _announced(t, s0) if announced else None
         if lead:
             m = _ID_VALUE.match(t, lead.start(1))
             if m:
@@ -266,10 +299,15 @@ def _particle(t: str, at: int) -> tuple[int, str]:
     return at, ""
 
 
+_CITING = {"re", "affaire"}
+#: The two characters before what a particle leads.
+_PARTICLE_TAILS = {x[-1] + mark for x in names.PARTICLE_ENDS for mark in " '’"}
+
+
 def _surroundings(t: str, s: int, e: int, left: tuple[str, str, float], right: tuple[str, str, float], word: str, parts: int, lead: str, known: dict, firms: set) -> list[str]:
     """Features that need the document: citations, names that it introduced, firms that it named."""
     f = []
-    if left[0] == "v" or right[0] == "v" or left[1] in ("re", "affaire"):
+    if left[0] == "v" or right[0] == "v" or left[1] in _CITING:
         side = names.cited(t, s, e)
         if side:
             f.append("n:cited=" + side)
@@ -301,10 +339,11 @@ class Reader:
 
     def __init__(self, lexicon: Lexicon, weights: dict[str, float] | None = None, near: int = 6) -> None:
         self.lexicon, self.weights, self.near = lexicon, weights, near
-        self.runs: dict[str, dict[str, names.Reading]] = {lang: {} for lang in names.STOP_WORDS}
+        self.runs = {lang: _Readings(partial(self._read, lang)) for lang in names.STOP_WORDS}
         self.lefts: dict[str, tuple[str, str, float]] = {}
         self.rights: dict[str, tuple[str, str, float]] = {}
         self.tables: dict[tuple[str, str], tuple] = {}
+        self.forms: dict[tuple, names.Reading] = {}
         if weights is not None:
             self._index(weights)
 
@@ -351,15 +390,23 @@ class Reader:
     def reading(self, lang: str, run: str, unknown=None) -> names.Reading:
         if unknown is not None:
             return names.read_run(run, lang, self.lexicon, unknown)
-        r = self.runs[lang].get(run)
-        if r is None:
-            r = names.read_run(run, lang, self.lexicon)
-            if self.weights is not None:
-                self._score(lang, r)
-            r.idle = not (r.pieces or r.introduces or r.firms or r.streets)
-            if len(self.runs[lang]) > 150_000:  # runs of a stream never end
-                self.runs[lang].clear()
-            self.runs[lang][run] = r
+        return self.runs[lang][run]
+
+    def _read(self, lang: str, run: str) -> names.Reading:
+        if self.weights is None:
+            return names.read_run(run, lang, self.lexicon)
+        el, gaps = names.take_apart(run, lang, self.lexicon)
+        form = names.signature(lang, el)
+        same = self.forms.get(form)
+        if same is None:
+            r = names.reading_of(el, gaps, names.pieces_of(lang, el, gaps))
+            self._score(lang, r)
+            if len(self.forms) > 50_000:  # forms of a stream never end
+                self.forms.clear()
+            self.forms[form] = r
+            return r
+        r = names.reading_of(el, gaps, same.pieces)
+        r.led, r.top, r.alone, r.lasts = same.led, same.top, same.alone, {el[p.closes][2] for p in r.pieces}
         return r
 
     def _score(self, lang: str, r: names.Reading) -> None:
@@ -367,12 +414,12 @@ class Reader:
         kept, r.led = [], []
         for p in r.pieces:
             p.score, p.tables = sum([get(f, 0.0) for f in p.features]), self._tables(lang, p.seq)
-            top = self._top(p)
+            p.top = top = self._top(p)
             r.top = max(r.top, top)
             if top + self.most["known"] + self.most["cited"] + self.pairs > 0:
                 kept.append(p)
             if p.first:  # the same with a particle before it
-                q = names.Piece(p.start, p.end, "p" + p.seq, p.last, p.parts, [], True, p.final)
+                q = names.Piece(p.start, p.end, "p" + p.seq, p.last, p.parts, [], True, p.final, closes=p.closes)
                 q.score, q.tables = p.score + get("n:seq=p" + p.seq, 0.0), self._tables(lang, q.seq)
                 r.led.append(q)
             p.features = []
@@ -380,6 +427,8 @@ class Reader:
         r.alone = not any("," in p.seq for p in kept) and len(kept) < 2  # pieces of one run may be neighbours
         for q in r.led:
             r.top = max(r.top, self._top(q) + self.most["lead"])
+        if not kept:
+            r.top = -math.inf
 
     def _side(self, held: dict, chunk: str, read, mark: str) -> tuple[str, str, float]:
         x = held.get(chunk)
@@ -400,51 +449,60 @@ class Reader:
         """Adds the names' candidates of a collapsed text, and those of German addresses, to the other candidates."""
         add = out.append
         lang = names.tongue(t)
-        runs, known, firms = [], {}, set()
-        held = self.runs[lang].get if unknown is None else _nothing
-        for m in names.RUN.finditer(t):
-            run = m.group()
-            r = held(run)
-            if r is None:
-                r = self.reading(lang, run, unknown)
-            if r.idle:
+        parts = _RUNS.split(t)  # gaps and runs by turns
+        ends = list(accumulate(map(len, parts)))
+        starts, ends, gaps = ends[0::2], ends[1::2], list(map(len, parts[0::2]))
+        if unknown is None:
+            readings = list(map(self.runs[lang].__getitem__, parts[1::2]))
+        else:
+            readings = [self.reading(lang, run, unknown) for run in parts[1::2]]
+        known, firms = {}, set()
+        for k, r in enumerate(readings):
+            if not r.busy:
                 continue
-            if r.introduces:
-                for w, particle in r.introduces:
-                    known.setdefault(w, set()).add(particle.strip().lower())
-            if r.firms:
-                firms.update(r.firms)
-            if r.pieces:
-                runs.append((*m.span(), r))
-            if r.streets:
-                for s, e in r.streets:
-                    h = _HOUSE_DE.match(t, m.start() + e)
-                    if h:
-                        _address(t, _STREET_LEAD_DE.search(t, max(0, m.start() + s - 12), m.start() + s).start(), h.end(), "de", self.lexicon, add)
+            for w, particle in r.introduces:
+                known.setdefault(w, set()).add(particle.strip().lower())
+            firms.update(r.firms)
+            for s, e in r.streets:
+                h = _HOUSE_DE.match(t, starts[k] + e)
+                if h:
+                    at = starts[k] + s
+                    _address(t, _STREET_LEAD_DE.search(t, max(0, at - 12), at).start(), h.end(), "de", self.lexicon, add)
         if self.weights is None:
-            for s0, _, r in runs:
+            for s0, r in zip(starts, readings):
                 self._featured(t, s0, lang, r, known, firms, add)
             return
         # what isn't beside an opponent isn't cited, and what has no candidate near it has no pair
         sides = {at for word in (" v. ", " v ", " gegen ", " c/ ", " re ", " affaire ") for p in _finds(t, word) for at in (p, p + len(word))}
-        reach, others = self.near, set()
+        reach, others, most, heard = self.near, set(), self.most, known.keys() | firms
         for c in out:
             others.update(range(c.start - reach, c.start + 1))
             others.update(range(c.end, c.end + reach + 1))
-        heard, last, n = known.keys() | firms, -99, len(runs)
-        for k, (s, e, r) in enumerate(runs):
-            alone = s - last > reach and (k + 1 == n or runs[k + 1][0] - e > reach + 9) and s not in others and e not in others  # 9: a particle before the next
-            last = e
-            pairs, cited = 0.0 if alone and r.alone else self.pairs, self.most["cited"] if s in sides or e in sides else 0.0
-            if r.top + pairs + cited + (0.0 if r.lasts.isdisjoint(heard) else self.most["known"]) > 0:
+        gaps[0] = gaps[-1] = len(t) + 99
+        far, told, cited = reach + 9, most["known"], 0.0  # 9: a particle before the next
+        after, into, both = most["out"], most["in"], self.pairs  # who has one neighbour isn't between two
+        for r, s, e, gap, ahead in zip(readings, starts, ends, gaps, gaps[1:]):
+            if r.alone and s not in others and e not in others:
+                pairs = (both if ahead <= far else into) if gap <= reach else after if ahead <= far else 0.0
+            else:
+                pairs = both
+            top = r.top + pairs
+            if sides:
+                cited = most["cited"] if s in sides or e in sides else 0.0
+                top += cited
+            if top > 0 or (top + told > 0 and not r.lasts.isdisjoint(heard)):
                 self._scored(t, s, r, known, firms, pairs, cited, add)
 
     def _scored(self, t: str, s0: int, r: names.Reading, known: dict, firms: set, pairs: float, cited: float, add) -> None:
-        left, get, most = None, self.weights.get, self.most
+        left, get, most, el = None, self.weights.get, self.most, r.el
         for p in r.pieces:
+            last = el[p.closes][2]
+            named = last in known or last in firms
+            more = pairs + cited + most["known"] if named else pairs + cited
+            if p.top + more <= 0:
+                continue
             a, b, c, _, most_b, most_c = p.tables
             score = p.score
-            more = pairs + cited + most["known"] if p.last in known or p.last in firms else pairs + cited
             le = ri = _NONE
             if p.first:
                 if left is None:
@@ -454,28 +512,27 @@ class Reader:
             if p.final:
                 if score + more + most[">"] + most_b + most_c <= 0:
                     continue
-                ri = self._right(t, s0 + p.end)
+                ri = self._right(t, s0 + el[p.closes][1])
                 score += ri[2] + b.get(ri[0], 0.0)
                 if p.first:
                     score += c.get(le[0] + ri[0], 0.0)
             if score + more > 0:
-                s, e = s0 + p.start, s0 + p.end
-                score += sum([get(f, 0.0) for f in _surroundings(t, s, e, le, ri, p.last, p.parts, p.lead, known, firms)])
+                s, e = s0 + (el[p.opens - 1][5] + 1 if p.lead else el[p.opens][0]), s0 + el[p.closes][1]
+                if named or le[0] == "v" or ri[0] == "v" or le[1] in _CITING:
+                    score += sum([get(f, 0.0) for f in _surroundings(t, s, e, le, ri, last, p.parts, p.lead, known, firms)])
                 if score + pairs > 0:
                     add(Span(s, e, "person_name", (), score))
-        if left is None:
-            left = self._left(t, s0)
-        if left[1] in names.PARTICLE_ENDS:
+        if t[max(0, s0 - 2) : s0].lower() in _PARTICLE_TAILS and (left or self._left(t, s0))[1] in names.PARTICLE_ENDS:
             at, particle = _particle(t, s0)
             if particle:
                 le, lead = self._left(t, at), get("n:lead=" + particle, 0.0)
                 for p in r.led:
                     a, b, c, *_ = p.tables
-                    ri = self._right(t, s0 + p.end) if p.final else _NONE
+                    e = s0 + el[p.closes][1]
+                    ri = self._right(t, e) if p.final else _NONE
                     score = p.score + lead + le[2] + a.get(le[0], 0.0) + (ri[2] + b.get(ri[0], 0.0) + c.get(le[0] + ri[0], 0.0) if p.final else 0.0)
                     if score + self.pairs + most["known"] + most["cited"] > 0:
-                        e = s0 + p.end
-                        score += sum([get(f, 0.0) for f in _surroundings(t, at, e, le, ri, p.last, p.parts, particle, known, firms)])
+                        score += sum([get(f, 0.0) for f in _surroundings(t, at, e, le, ri, el[p.closes][2], p.parts, particle, known, firms)])
                         if score + self.pairs > 0:
                             add(Span(at, e, "person_name", (), score))
 
@@ -494,7 +551,22 @@ class Reader:
 
 
 _NONE = ("", "", 0.0)
-_nothing = {}.get
+_RUNS = re.compile(f"({names.RUN.pattern})")
+
+
+class _Readings(dict):
+    """Readings by run, made when first asked for."""
+
+    def __init__(self, read) -> None:
+        super().__init__()
+        self.read = read
+
+    def __missing__(self, run: str) -> names.Reading:
+        r = self.read(run)
+        if len(self) > 150_000:  # runs of a stream never end
+            self.clear()
+        self[run] = r
+        return r
 
 
 def candidates(t: str, reader: Reader, unknown=None) -> list[Span]:
@@ -772,6 +844,19 @@ def fit(documents: DataFrame, given_names: DataFrame, training_documents: int =
     return learn(texts, lex)
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Leaves out the search for cycles: candidates and readings are many, and hold none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+@_uncollected()
 def learn(texts: list[str], lex: Lexicon) -> Model:
     """The field of a sample of collapsed texts."""
     reader, samples = Reader(lex), []
@@ -844,7 +929,8 @@ def find_pii(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for batch in batches:
-            rows = [(d, k, v) for d, text in zip(batch["doc_id"], batch["text"]) for k, v in dict.fromkeys((k, v) for k, v, _, _ in find(text, m))]
+            with _uncollected():
+                rows = [(d, k, v) for d, text in zip(batch["doc_id"], batch["text"]) for k, v in dict.fromkeys((k, v) for k, v, _, _ in find(text, m))]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_kind", "pii_text"])
 
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -858,7 +944,8 @@ def redacted(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for batch in batches:
-            done = [redact_counted(x, m) for x in batch["text"]]
+            with _uncollected():
+                done = [redact_counted(x, m) for x in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [x for x, _ in done], "n_found": [n for _, n in done]})
 
     return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id bigint, text string, n_found bigint")
